@@ -5,9 +5,10 @@ from __future__ import annotations
 from .decontamination import op1_decontamination
 from .line_dedup import op2_line_dedup
 from .oracles import ORACLES
+from .packing import op3_packing
 
 __all__ = ["ORACLES", "queries"]
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_line_dedup)}
+    return {f.__name__: f for f in (op1_decontamination, op2_line_dedup, op3_packing)}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontamination import op1_decontamination
 from .line_dedup import op2_line_dedup
+from .minhash import op7_minhash
 from .oracles import ORACLES
 from .packing import op3_packing
 
@@ -11,4 +12,4 @@ __all__ = ["ORACLES", "queries"]
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_line_dedup, op3_packing)}
+    return {f.__name__: f for f in (op1_decontamination, op2_line_dedup, op3_packing, op7_minhash)}

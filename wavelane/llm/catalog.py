@@ -7,9 +7,10 @@ from .line_dedup import op2_line_dedup
 from .minhash import op7_minhash
 from .oracles import ORACLES
 from .packing import op3_packing
+from .substring_dedup import op5_substring_dedup
 
 __all__ = ["ORACLES", "queries"]
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_line_dedup, op3_packing, op7_minhash)}
+    return {f.__name__: f for f in (op1_decontamination, op2_line_dedup, op3_packing, op5_substring_dedup, op7_minhash)}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -30,9 +31,16 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, where: str) -> DataFrame:
     """Writes a table in the shared folder and reads it back: lineage ends here."""
     df.write.mode("overwrite").parquet(where)
+    tidy(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(where)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_dir(spark: SparkSession, where: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(where)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

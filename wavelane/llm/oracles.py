@@ -53,3 +53,18 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT a, v FROM
 SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, c AS component_id, w.doc_id = c AS kept
 FROM ws w LEFT JOIN sized USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS c FROM reach GROUP BY a) USING (doc_id)
 """
+
+ORACLES["op5_substring_dedup"] = r"""
+WITH ws AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+wins AS (
+  SELECT doc_id, i, md5(array_to_string(w[i : i + 34], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM ws WHERE len(w) >= 35)),
+twice AS (SELECT h FROM wins GROUP BY h HAVING count(*) > 1),
+covered AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM wins JOIN twice USING (h)),
+single AS (SELECT doc_id, i AS p, w[i] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM ws)),
+judged AS (
+  SELECT single.doc_id, count(*) AS n_words, count(covered.p) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (covered.p IS NULL) AS kept
+  FROM single LEFT JOIN covered USING (doc_id, p) GROUP BY single.doc_id)
+SELECT doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM ws LEFT JOIN judged USING (doc_id)
+"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .additive_quant import op10_ann
 from .decontamination import op1_decontamination
+from .language_id import op8_language_id
 from .line_dedup import op2_line_dedup
 from .minhash import op7_minhash
 from .oracles import ORACLES
@@ -14,4 +15,4 @@ __all__ = ["ORACLES", "queries"]
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_line_dedup, op3_packing, op5_substring_dedup, op7_minhash, op10_ann)}
+    return {f.__name__: f for f in (op1_decontamination, op2_line_dedup, op3_packing, op5_substring_dedup, op7_minhash, op8_language_id, op10_ann)}

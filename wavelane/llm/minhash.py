@@ -9,10 +9,11 @@ chance of about 2e-8.
 
 Rows with equal sets are one node from the start. In a key's bucket every node is
 first compared with the bucket's most central node (that which shares most keys
-with most nodes); what links up becomes one component. Only pairs across
-components remain, and those are all compared: in blocks of bounded size, first
-by signature, then on the full sets. So no link between different texts is lost
-and a group of many near copies costs about one comparison each.
+with most nodes); what links up becomes one component. Around a centre only pairs
+across components remain, and those are all compared on their full sets, in
+blocks of bounded size that give links only. So no link between different texts
+is lost, and where near copies link up with their centre, each costs about one
+comparison.
 
 Defined results: null texts and texts without words have an empty set, link with
 nothing and are their own component. A document of fewer words than a shingle has
@@ -38,8 +39,8 @@ CHUNKS = 8
 SYMBOLS = 4 * CHUNKS
 #: Pairs whose signatures differ in more symbols aren't compared on full sets; a linked pair does so with a chance under 1e-6.
 DISTANCE = 18
-#: Nodes of a bucket in one block of the exhaustive comparison.
-BLOCK = 1024
+#: Nodes around a centre in one block of the exhaustive comparison.
+BLOCK = 512
 
 _TABLE = V.byte_table(V.SPACES, lower=True)
 _MULT = V.mix(np.arange(SYMBOLS, dtype=V.U) + V.U(0x3157)) | V.U(1)
@@ -152,38 +153,43 @@ def _linked(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFr
 
 
 def _across(rows: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """All pairs across components in a bucket that signatures allow; each in its first common bucket.
+    """All links across components among the nodes around one centre.
 
-    rows: key, node, n, sig, component, rep (the bucket's centre), main (its
-    component), c (nodes in the bucket), o (nodes outside the main component).
-    The bucket is dealt into blocks: all its nodes by x, those outside by y.
+    rows: rep (the centre), node, set, component, main (the centre's component),
+    c (nodes around it), o (those outside its component). They are dealt into
+    blocks: all nodes by x, those outside by y. A block counts the common shingles
+    of one y with all its x at once and gives only what links.
     """
     kind = rows.schema["node"].dataType
     own = F.pmod(F.xxhash64("node"), F.lit(1 << 30))
     rows = rows.withColumn("nx", F.ceil(F.col("c") / BLOCK).cast("int")).withColumn("ny", F.ceil(F.col("o") / BLOCK).cast("int"))
-    base = ["key", "node", "n", "sig", "component", "rep"]
+    base = ["rep", "node", "set", "component"]
     xs = rows.select(*base, F.lit(0).alias("side"), F.pmod(own, F.col("nx")).cast("int").alias("bx"), F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("by"))
     ys = rows.filter("component <> main").select(*base, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("bx"), F.pmod(own, F.col("ny")).cast("int").alias("by"))
-    dealt = xs.union(ys).repartition("key", "bx", "by").sortWithinPartitions("key", "bx", "by")
+    dealt = xs.union(ys).repartition("rep", "bx", "by").sortWithinPartitions("rep", "bx", "by")
     schema = T.StructType([T.StructField("u", kind), T.StructField("v", kind)])
 
-    def pairs(g: pa.Table):
-        sig = np.frombuffer(b"".join(g.column("sig").to_pylist()), "<u2").reshape(-1, SYMBOLS)
-        col = {c: g.column(c).to_numpy() for c in ("key", "node", "n", "component", "rep", "side")}
-        x, y = np.flatnonzero(col["side"] == 0), np.flatnonzero(col["side"] == 1)
-        main_x = np.isin(col["node"][x], col["node"][y])
+    def links(g: pa.Table):
+        sets = [np.frombuffer(b, V.U) for b in g.column("set").to_pylist()]
+        node, comp, side = (g.column(c).to_numpy() for c in ("node", "component", "side"))
+        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(x) or not len(y):
+            return
+        size = np.array([len(s) for s in sets])
+        ids = np.unique(np.concatenate([sets[j] for j in y]))
+        flat = np.concatenate([sets[i] for i in x])
+        at = np.minimum(np.searchsorted(ids, flat), len(ids) - 1)
+        at[ids[at] != flat] = len(ids)
+        first = np.cumsum(np.append(0, size[x][:-1]))
+        mark = np.zeros(len(ids) + 1, np.int64)
         for j in y:
-            i = x[(col["component"][x] != col["component"][j]) & (col["node"][x] != col["rep"][x]) & (~main_x | (col["node"][x] < col["node"][j]))]
-            if col["node"][j] == col["rep"][j] or not len(i):
-                continue
-            lo, hi = np.minimum(col["n"][i], col["n"][j]), np.maximum(col["n"][i], col["n"][j])
-            i = i[least[1] * lo >= least[0] * hi]
-            i = i[_distance(sig[i], sig[j]) <= DISTANCE]
-            if len(i):
-                equal = chunk_keys(sig[i]) == chunk_keys(sig[j : j + 1])
-                shared = V.signed(chunk_keys(sig[j : j + 1]))[0][equal.argmax(axis=1)]
-                i = i[shared == col["key"][j]]
-                yield from zip(col["node"][i].tolist(), [int(col["node"][j])] * len(i), strict=True)
+            spot = np.searchsorted(ids, sets[j])
+            mark[spot] = 1
+            both = np.add.reduceat(mark[at], first)
+            mark[spot] = 0
+            near = (comp[x] != comp[j]) & (least[1] * both >= least[0] * (size[x] + size[j] - both))
+            for i in x[near]:
+                yield int(node[i]), int(node[j])
 
     def go(batches):
         held = None
@@ -193,13 +199,13 @@ def _across(rows: DataFrame, least: tuple[int, int]) -> DataFrame:
                 now = pa.concat_tables([held, now])
             if not now.num_rows:
                 continue
-            ids = np.stack([now.column(c).to_numpy().astype(np.int64) for c in ("key", "bx", "by")])
+            ids = np.stack([now.column(c).to_numpy().astype(np.int64) for c in ("rep", "bx", "by")])
             cut = np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1
-            found = [p for a, b in zip([0, *cut[:-1].tolist()], cut.tolist(), strict=False) for p in pairs(now.slice(a, b - a))]
+            found = [p for a, b in zip([0, *cut[:-1].tolist()], cut.tolist(), strict=False) for p in links(now.slice(a, b - a))]
             held = now.slice(int(cut[-1]) if len(cut) else 0)
             yield from made(found)
         if held is not None and held.num_rows:
-            yield from made(list(pairs(held)))
+            yield from made(list(links(held)))
 
     def made(found):
         if found:
@@ -229,16 +235,16 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
     ours = weight.select(F.col("node").alias("__node"))
     sets = stored(_sets(docs.join(ours, docs[doc_id] == ours["__node"], "left_semi"), doc_id, text, shingle), f"{folder}/sets")
-    stars = buckets.filter("node <> rep").select(F.col("rep").alias("u"), F.col("node").alias("v")).distinct()
+    stars = stored(buckets.filter("node <> rep").select(F.col("rep").alias("u"), F.col("node").alias("v")).distinct(), f"{folder}/stars")
     first = stored(_linked(_near(stars, nodes, least), sets, least), f"{folder}/links-1")
     own = components(first, f"{folder}/c1")
-    label = nodes.join(own, "node", "left").select("node", "n", "sig", F.coalesce("component", "node").alias("component"))
-    named = buckets.join(label, "node")
+    label = nodes.join(own, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     main = label.select(F.col("node").alias("rep"), F.col("component").alias("main"))
-    named = named.join(main, "rep")
-    outside = named.filter("component <> main").groupBy("key").agg(F.count("*").alias("o"))
-    second = _across(named.join(outside, "key"), least).distinct()
-    second = stored(_linked(second, sets, least), f"{folder}/links-2")
+    around = stars.select(F.col("u").alias("rep"), F.col("v").alias("node")).join(label, "node").join(main, "rep").select("rep", "node", "component", "main")
+    open_ = around.groupBy("rep").agg((F.count("*") + 1).alias("c"), F.count_if(F.col("component") != F.col("main")).alias("o")).filter("o > 0")
+    open_ = stored(open_, f"{folder}/open")
+    around = around.union(open_.select(F.col("rep").alias("node"), "rep").join(main, "rep").select("rep", "node", F.col("main").alias("component"), "main"))
+    second = stored(_across(around.join(open_, "rep").join(sets, "node"), least), f"{folder}/links-2")
     joined = components(first.union(second), f"{folder}/c2").withColumnRenamed("node", "__n")
     of = classes.join(joined, classes["node"] == joined["__n"], "left").select("h1", "h2", F.coalesce("component", "node").alias("component_id"))
     of = stored(of, f"{folder}/of")

@@ -9,10 +9,11 @@ from .line_dedup import op2_line_dedup
 from .minhash import op7_minhash
 from .oracles import ORACLES
 from .packing import op3_packing
+from .quality import op4_quality
 from .substring_dedup import op5_substring_dedup
 
 __all__ = ["ORACLES", "queries"]
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_line_dedup, op3_packing, op5_substring_dedup, op7_minhash, op8_language_id, op10_ann)}
+    return {f.__name__: f for f in (op1_decontamination, op2_line_dedup, op3_packing, op4_quality, op5_substring_dedup, op7_minhash, op8_language_id, op10_ann)}

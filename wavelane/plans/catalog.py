@@ -1,4 +1,6 @@
 """All queries of the library with their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import queries_grid, queries_signal  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

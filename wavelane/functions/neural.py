@@ -8,14 +8,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bind(value: Column, f) -> Column:
+    """f(value) with value computed once; inside a lambda it would be computed for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
 def l2_normalise(x: Column, weight: Column | None = None) -> Column:
     """x / max(|x|, 1e-12) * sqrt(size), times weight."""
-    norm = F.greatest(F.sqrt(dot(x, x)), F.lit(1e-12))
-    out = F.transform(x, lambda v: v / norm * F.sqrt(F.size(x).cast("double")))
+    scale = F.sqrt(F.size(x).cast("double")) / F.greatest(F.sqrt(dot(x, x)), F.lit(1e-12))
+    out = bind(scale, lambda s: F.transform(x, lambda v: v * s))
     return out if weight is None else F.zip_with(out, weight, lambda a, b: a * b)
 
 
@@ -47,9 +52,10 @@ def glu(x: Column) -> Column:
 
 
 def softmax(x: Column) -> Column:
-    top = F.array_max(x)
-    e = F.transform(x, lambda v: F.exp(v - top))
-    return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
+    def shares(e: Column) -> Column:
+        return bind(F.aggregate(e, F.lit(0.0), lambda s, y: s + y), lambda total: F.transform(e, lambda v: v / total))
+
+    return bind(F.array_max(x), lambda top: bind(F.transform(x, lambda v: F.exp(v - top)), shares))
 
 
 def rope(x: Column, place: Column, base: float = 10000.0) -> Column:

@@ -155,7 +155,7 @@ def small_bridge(spark):
 
 
 @query(W + DFT + ", " + BRIDGE9 + """, ga AS (SELECT track, frame, band, d.bin, re * (band + 1) / (frame % 3 + 2) AS v FROM dft d JOIN bridge b ON d.bin = b.bin), n AS (SELECT bin, count(*) AS n FROM bridge GROUP BY bin)
-SELECT track, CAST(frame AS INTEGER) AS frame, ga.bin, round(sum(v) / any_value(n), 6) + 0.0 AS v FROM ga JOIN n ON ga.bin = n.bin GROUP BY ALL""")
+SELECT track, CAST(frame AS INTEGER) AS frame, CAST(ga.bin AS INTEGER) AS bin, round(sum(v) / any_value(n), 6) + 0.0 AS v FROM ga JOIN n ON ga.bin = n.bin GROUP BY ALL""")
 def gather_and_scatter(spark, sf_dir):
     """Bins to overlapping bands, a gain each, and back by average."""
     spec = spectral.small_dft(left(spark, sf_dir), ["track"], N_FFT, HOP)

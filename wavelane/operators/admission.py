@@ -58,7 +58,7 @@ def held() -> Column:
 
 def ceiling() -> Column:
     """Commit headroom, else available memory, else installed less held; null if none is known."""
-    return F.coalesce("commit_avail_mb", "avail_phys_mb", F.greatest(F.col("total_phys_mb") - F.coalesce(held(), F.lit(0)), F.lit(0)))
+    return F.coalesce("commit_avail_mb", "avail_phys_mb", F.when(F.col("total_phys_mb").isNotNull(), F.greatest(F.col("total_phys_mb") - F.coalesce(held(), F.lit(0)), F.lit(0))))
 
 
 def fits(need: Column) -> Column:

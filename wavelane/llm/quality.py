@@ -27,8 +27,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from . import vectext as V
 from .common import table, with_struct, without
 
-TRAIN = 4000
-BUCKETS = 4096
+TRAIN = 3000
+BUCKETS = 2048
 KEEP = 0.5
 GOOD, BAD, ABSTAIN = 2, 1, 0
 
@@ -182,9 +182,9 @@ class Scorer:
     """Logistic regression on the shares of hashed features, trained on soft labels."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, steps: int = 300, rate: float = 0.3, decay: float = 1e-4):
-        x = x / np.maximum(x.sum(axis=1, keepdims=True), 1)
-        self.scale = 1 / np.maximum(np.sqrt((x * x).mean(axis=0)), 1e-4)
-        x = (x * self.scale).astype(np.float32)
+        x /= np.maximum(x.sum(axis=1, keepdims=True), 1)  # in place: the driver holds one matrix
+        self.scale = 1 / np.maximum(np.sqrt(np.einsum("ij,ij->j", x, x) / len(x)), 1e-4)
+        x *= self.scale
         weight = np.where(y > 0.5, 0.5 / max(y.mean(), 1e-3), 0.5 / max(1 - y.mean(), 1e-3))
         weight /= weight.mean()
         w, b = np.zeros(x.shape[1], np.float32), 0.0
@@ -242,8 +242,12 @@ def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", train: i
     if not got:
         return None
     got.sort(key=lambda r: (r[0], r[1], bytes(r[2])))
-    x = np.frombuffer(b"".join(bytes(r[2]) for r in got), "<u2").reshape(len(got), BUCKETS)
-    return model, Scorer(x.astype(np.float32), model.posterior(unpack(np.array([r[1] for r in got]), len(LABELLERS))))
+    x = np.empty((len(got), BUCKETS), np.float32)
+    for i, r in enumerate(got):
+        x[i] = np.frombuffer(r[2], "<u2")
+    y = model.posterior(unpack(np.array([r[1] for r in got]), len(LABELLERS)))
+    del got
+    return model, Scorer(x, y)
 
 
 RESULT = T.StructType([T.StructField("votes", T.ArrayType(T.IntegerType())), T.StructField("posterior", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("kept", T.BooleanType())])

@@ -116,15 +116,16 @@ def plan_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: flo
     m = len(sizes)
     basis = [np.eye(m, dtype=np.int64)[k] * (capacity // sizes[k]) for k in range(m)]
     inverse = np.diag([1.0 / (capacity // s) for s in sizes])
-    x = inverse @ demand
+    x = (inverse * demand).sum(axis=1)
     bound = 0.0
     for step in range(most):
         dual = inverse.sum(axis=0)
         value, pattern = _price(np.maximum(dual, 0), sizes, capacity)
-        bound = max(bound, float(dual @ demand) / max(value, 1.0))
+        bound = max(bound, float((dual * demand).sum()) / max(value, 1.0))
         if value <= 1 + 1e-9 or x.sum() <= bound * (1 + gap):
             break
-        u = inverse @ pattern
+        own = np.flatnonzero(pattern)
+        u = (inverse[:, own] * pattern[own]).sum(axis=1)  # few columns; no library threads wake up for it
         up = u > 1e-9
         if not up.any():
             break
@@ -135,12 +136,14 @@ def plan_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: flo
         inverse[r] /= u[r]
         other = u.copy()
         other[r] = 0
-        inverse -= np.outer(other, inverse[r])
+        inverse -= other[:, None] * inverse[r]
         x = np.maximum(x, 0)
         basis[r] = pattern
-        if step % 200 == 199:  # against rounding
-            inverse = np.linalg.inv(np.array(basis, float).T)
-            x = np.maximum(inverse @ demand, 0)
+        if step % 200 == 199:
+            columns = np.array(basis, float)
+            if np.abs((columns * x[:, None]).sum(axis=0) - demand).max() > 1e-6 * demand.max():  # rounding has added up
+                inverse = np.linalg.inv(columns.T)
+                x = np.maximum((inverse * demand).sum(axis=1), 0)
     return list(zip(basis, x.tolist(), strict=True))
 
 

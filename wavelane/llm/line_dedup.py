@@ -110,6 +110,8 @@ class LineRuns:
 
 def _bounds(docs: DataFrame, doc_id: str, batches: int) -> list:
     """Ids that cut the documents into about equal batches; their number is fixed."""
+    if batches < 2:
+        return []
     return sorted(set(docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("double").alias("d")).approxQuantile("d", [k / batches for k in range(1, batches)], 0.01)))
 
 

@@ -244,28 +244,34 @@ def item_blocks(items: DataFrame, item_id: str, item_text: str, block_words: int
     yield block
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, into: str = "contamination") -> DataFrame:
+def find_contamination(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, into: str = "contamination", cut: bool = False) -> DataFrame:
     """docs with a struct column `into`: n_words, n_hit, spans (words and bytes), items.
 
     One pass over the documents for each `block_words` of item words; each pass
-    broadcasts one automaton of that bounded size.
+    broadcasts one automaton of that bounded size. With cut, the last pass also
+    takes the hit spans out of the text.
     """
     spark, out = docs.sparkSession, docs
-    for k, block in enumerate(item_blocks(items, item_id, item_text, block_words)):
+    blocks = item_blocks(items, item_id, item_text, block_words)
+    block, later = next(blocks), False
+    while block is not None:
+        following = next(blocks, None)
         shared = spark.sparkContext.broadcast(Automaton(block, window))
         schema = with_struct(out.schema, into, RESULT)
 
-        def go(batches, shared=shared, schema=schema, later=bool(k)):
+        def go(batches, shared=shared, schema=schema, later=later, cut=cut and following is None):
             arrow = to_arrow_schema(schema)
             for batch in batches:
                 for part in V.slices(batch, text):
                     found = _scan(part, text, shared.value)
                     if later:
                         found = [_union(a, b) for a, b in zip(part.column(into).to_pylist(), found, strict=True)]
-                    cols = [pa.array(found, arrow.field(f.name).type) if f.name == into else part.column(f.name) for f in schema.fields]
-                    yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+                    new = {into: pa.array(found, arrow.field(into).type)}
+                    if cut:
+                        new[text] = pa.array(list(map(_cut, part.column(text).to_pylist(), (f["spans"] for f in found))), arrow.field(text).type)
+                    yield pa.RecordBatch.from_arrays([new[f.name] if f.name in new else part.column(f.name) for f in schema.fields], names=schema.names)
 
-        out = out.mapInArrow(go, schema)
+        out, block, later = out.mapInArrow(go, schema), following, True
     return out
 
 
@@ -273,8 +279,8 @@ def contaminated(n_hit, n_words):
     return (n_hit > 0) & (COVERAGE[1] * n_hit >= COVERAGE[0] * n_words)
 
 
-def _cut(text, spans):
-    if text is None or spans is None or not len(spans):
+def _cut(text: str | None, spans: list[dict]) -> str | None:
+    if not spans:
         return text
     raw, at, out = text.encode(), 0, []
     for s in spans:
@@ -289,11 +295,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, text: str = "text", **op
     Keeps all columns; only `text` changes, where a span goes.
     """
     into = "__contamination"
-    found = find_contamination(docs, items, text=text, into=into, **options)
-    kept = found.filter(~contaminated(F.col(f"{into}.n_hit"), F.col(f"{into}.n_words")))
-    cut = F.pandas_udf(lambda t, s: t.combine(s, _cut), T.StringType())
-    spans = F.col(f"{into}.spans")
-    return kept.withColumn(text, F.when(F.size(spans) > 0, cut(F.col(text), spans)).otherwise(F.col(text))).drop(into)
+    found = find_contamination(docs, items, text=text, into=into, cut=True, **options)
+    return found.filter(~contaminated(F.col(f"{into}.n_hit"), F.col(f"{into}.n_words"))).drop(into)
 
 
 def op1_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -166,6 +166,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
             first, held = i, 0
         held += n
     yield batch.slice(first)
+    pa.default_memory_pool().release_unused()  # a worker lives on between tasks
 
 
 def signed(x: np.ndarray) -> np.ndarray:

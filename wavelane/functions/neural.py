@@ -7,10 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
-def bind(value: Column, f) -> Column:
-    """f(value) with value computed once; inside a lambda it would be computed for each element."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
+from .lambdas import bind
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -142,8 +142,8 @@ SELECT track, pos, round(voc_l, 6) + 0.0 AS voc_l FROM stems JOIN keep USING (tr
 def resumed_tail(spark, sf_dir):
     """Windows from prime_from on give the same frames from the seam on as a whole run."""
     frames = events_signal(spark, sf_dir)
-    plan = GRID.resume(F.col("total"), F.floor(F.col("total") / 2))
-    rows = GRID.assign(frames.withColumn("plan", plan)).filter(F.col("win_id") >= F.col("plan.prime_from"))
+    plan = frames.select("track", "total").distinct().select("track", GRID.resume(F.col("total"), F.floor(F.col("total") / 2)).alias("plan"))  # one a track
+    rows = GRID.assign(frames.join(plan, "track")).filter(F.col("win_id") >= F.col("plan.prime_from"))
     w = GRID.fade(F.col("k"), F.col("is_first"), F.col("is_last"))
     parts = rows.select("track", "pos", "plan", (F.col("l") * 0.25).alias("voc_l"), *[F.lit(0.0).alias(p) for p in PARTS[1:]], w.alias("w")).filter(F.col("pos") >= F.col("plan.keep_frames"))
     return overlap.crossfade(parts, ["track", "pos"]).select("track", "pos", r6(F.col("voc_l")).alias("voc_l"))

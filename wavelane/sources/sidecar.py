@@ -8,6 +8,8 @@ from dataclasses import astuple, dataclass, fields
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lambdas import bind
+
 HEADER_BYTES, FRAME_BYTES = 44, 4
 FORMAT = 1
 # The fields of a sidecar, in order.
@@ -75,17 +77,25 @@ def decode(text: Column) -> Column:
     """struct of the nine fields and fault, which is null if the text is a whole sidecar."""
     lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
     own = F.filter(lines, lambda x: (x != "") & ~x.startswith("#"))
-    pairs = F.transform(own, lambda x: F.struct(F.trim(F.get(F.split(x, "=", 2), F.lit(0))).alias("k"), F.trim(F.get(F.split(x, "=", 2), F.lit(1))).alias("v")))
-    known = F.filter(pairs, lambda p: p["k"].isin(*FIELDS))
-    distinct = F.array_distinct(F.transform(known, lambda p: p["k"]))
+    pairs = F.transform(own, lambda x: bind(F.split(x, "=", 2), lambda kv: F.struct(F.trim(F.get(kv, F.lit(0))).alias("k"), F.trim(F.get(kv, F.lit(1))).alias("v"))))
+
+    def read(pairs: Column, known: Column, names: Column) -> Column:
+        def value(name: str) -> Column:
+            at = F.array_position(names, name)
+            return F.when(at > 0, F.get(known, (at - 1).cast("int"))["v"].try_cast("long")).alias(name)
+
+        n = F.size(F.array_distinct(names))
+        bad_line = F.exists(pairs, lambda p: p["v"].isNull())
+        bad_number = F.exists(known, lambda p: ~p["v"].rlike("^[0-9]+$"))
+        fault = F.when(bad_line, "not key=value").when(n < F.size(names), "repeated field").when(n < len(FIELDS), F.concat(F.lit(len(FIELDS)) - n, F.lit(" fields are missing"))).when(bad_number, "no number")
+        return F.struct(*[value(f) for f in FIELDS], fault.alias("fault"))
 
-    def value(name: str) -> Column:
-        return F.get(F.filter(known, lambda p: p["k"] == name), F.lit(0))["v"].try_cast("long").alias(name)
+    def split(pairs: Column) -> Column:
+        known = F.filter(pairs, lambda p: p["k"].isin(*FIELDS))
+        return bind(known, lambda k: bind(F.transform(k, lambda p: p["k"]), lambda names: read(pairs, k, names)))
 
-    bad_line = F.exists(pairs, lambda p: p["v"].isNull())
-    bad_number = F.exists(known, lambda p: ~p["v"].rlike("^[0-9]+$"))
-    fault = F.when(text.isNull(), "no sidecar").when(bad_line, "not key=value").when(F.size(distinct) < F.size(known), "repeated field").when(F.size(distinct) < len(FIELDS), F.concat(F.lit(len(FIELDS)) - F.size(distinct), F.lit(" fields are missing"))).when(bad_number, "no number")
-    return F.struct(*[value(f) for f in FIELDS], fault.alias("fault"))
+    none = F.struct(*[F.lit(None).cast("long").alias(f) for f in FIELDS], F.lit("no sidecar").alias("fault"))
+    return F.when(text.isNull(), none).otherwise(bind(pairs, split))
 
 
 def difference(a: str, b: str) -> Column:

@@ -1,12 +1,14 @@
 """License scans by conditional compression.
 
-A candidate block is a line with a licensing word. It is compressed with each
-template as a raw zstandard dictionary; the fewer bytes that takes against no
-dictionary, the more of the block the template explains. Templates are ranked by
-that reduction, and the best `TRY` are held against the block word by word: the
-longest common subsequence must hold at least `WORDING` of the template's words
-and no more than `EXTRA` other words may stand between them. The words that
-differ are reported.
+A candidate block is a line with a licensing word. Each window of it of about a
+template's length is held against the template word by word: the longest common
+subsequence must hold at least `WORDING` of the template's words and no more than
+`EXTRA` other words may stand between them. Only windows that lack too many of the
+template's words in any order are skipped, which loses nothing. A confirmed window
+is compressed with its template as a raw zstandard dictionary; its reduction is
+the share of bytes that saves against no dictionary, so text around a notice
+doesn't lessen it. Fewest differing words win, then most bytes saved. The words
+that differ are reported.
 
 Defined results: null text, empty text and text without a candidate have no
 blocks and no licenses. Rows are judged one by one, so repeats and null ids
@@ -16,6 +18,7 @@ result column is replaced.
 
 from __future__ import annotations
 
+import heapq
 import re
 
 import pyarrow as pa
@@ -29,11 +32,8 @@ from . import vectext as V
 from .common import table, with_struct, without
 
 LEVEL = 3
-TRY = 3
 WORDING = 0.8
 EXTRA = 0.35
-#: A reduction below this share isn't looked at.
-LEAST = 0.2
 
 # Short notices by which public licenses are applied.
 TEMPLATES = {
@@ -55,8 +55,8 @@ TEMPLATES = {
     "CC0-1.0": "This work is dedicated to the public domain under CC0 1.0.",
 }
 
-CANDIDATE = re.compile(rb"licen[cs]|copyright|permission|redistribut|public domain|spdx", re.I)
-_WORD = re.compile(r"[\w.+-]*\w")
+CANDIDATE = re.compile(r"licen[cs]|copyright|permission|redistribut|public domain|spdx", re.I | re.A)
+_RUN = re.compile(r"[\w.+-]+")
 
 RESULT = T.StructType([
     T.StructField("blocks", T.LongType()),
@@ -64,66 +64,130 @@ RESULT = T.StructType([
 ])
 
 
+def spans(text: str, first: int = 0, after: int | None = None) -> list[tuple[int, int]]:
+    """Where the words of a stretch begin and end: runs of word characters and .+- up to the last word character."""
+    out = []
+    for m in _RUN.finditer(text, first, len(text) if after is None else after):
+        if w := m.group().rstrip(".+-"):
+            out.append((m.start(), m.start() + len(w)))
+    return out
+
+
 def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return [text[a:b].lower() for a, b in spans(text)]
 
 
-def wording(template: list[str], block: list[str]) -> tuple[list[str], list[str], int]:
-    """(missing words, words in between, common words) by a longest common subsequence."""
+def wording(template: list[str], block: list[str]) -> tuple[list[str], list[int], list[int]]:
+    """(missing words, places of words in between, places of common words) by a longest common subsequence."""
     n, m = len(template), len(block)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
             best[i][j] = best[i + 1][j + 1] + 1 if template[i] == block[j] else max(best[i + 1][j], best[i][j + 1])
     i = j = 0
-    missing, between, hold, seen = [], [], [], False
+    missing, common = [], []
     while i < n and j < m:
         if template[i] == block[j]:
-            between += hold if seen else []
-            hold, seen = [], True
+            common.append(j)
             i, j = i + 1, j + 1
         elif best[i + 1][j] >= best[i][j + 1]:
             missing.append(template[i])
             i += 1
         else:
-            hold.append(block[j])
             j += 1
-    return missing + template[i:], between, best[0][0]
+    inside = set(common)
+    return missing + template[i:], [j for j in range(common[0], common[-1]) if j not in inside] if common else [], common
 
 
 class Scanner:
     def __init__(self, templates: dict[str, str]):
         self.plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
-        self.known = []
+        self.known, self.marks, self.holders = [], [], {}
         for name, text in templates.items():
             raw = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            self.known.append((name, words(text), zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_content_size=False, write_dict_id=False)))
-
-    def rank(self, block: bytes) -> list[tuple[float, str, list[str]]]:
-        """Templates by the share of the compressed block that they save."""
-        alone = len(self.plain.compress(block))
-        scored = [(1 - len(c.compress(block)) / alone, name, ws) for name, ws, c in self.known]
-        return sorted((x for x in scored if x[0] >= LEAST), key=lambda x: (-x[0], x[1]))[:TRY]
+            ws, marks = words(text), {}
+            for i, w in enumerate(ws):
+                marks[w] = marks.get(w, 0) | 1 << i
+            for w in marks:
+                self.holders.setdefault(w, []).append(len(self.known))
+            self.known.append((name, ws, zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_content_size=False, write_dict_id=False)))
+            self.marks.append(marks)
+
+    @staticmethod
+    def longest(n: int) -> int:
+        """Words of the longest window that a template of n words can be confirmed in."""
+        return n + int(EXTRA * n)
+
+    def starts(self, own: list[str]) -> list[tuple[int, int]]:
+        """(template, first word) of all windows that hold enough of a template's words, in any order."""
+        places, out = {}, []
+        for i, w in enumerate(own):
+            for t in self.holders.get(w, ()):
+                places.setdefault(t, []).append(i)
+        for t, at in places.items():
+            n, marks = len(self.known[t][1]), self.marks[t]
+            have, total, j = dict.fromkeys(marks, 0), 0, 0
+            if len(at) < WORDING * n:
+                continue
+            for i in at:
+                while j < len(at) and at[j] < i + self.longest(n):
+                    total += have[own[at[j]]] < marks[own[at[j]]].bit_count()
+                    have[own[at[j]]] += 1
+                    j += 1
+                if total >= WORDING * n:
+                    out.append((t, i))
+                have[own[i]] -= 1
+                total -= have[own[i]] < marks[own[i]].bit_count()
+        return out
+
+    def window(self, t: int, own: list[str | None], first: int) -> tuple[int, int] | None:
+        """(differing words, end) of the confirmed window from `first` with fewest differing words."""
+        n, marks, best = len(self.known[t][1]), self.marks[t], None
+        v = full = (1 << n) - 1
+        for at in range(first, min(first + self.longest(n), len(own))):
+            if m := marks.get(own[at]):
+                # One step of the longest common subsequence; its length is the number of zeros.
+                v = (v + (v & m) | v & ~m) & full
+                common = n - v.bit_count()
+                extra = at + 1 - first - common
+                if common >= WORDING * n and extra <= EXTRA * n and (best is None or n - common + extra < best[0]):
+                    best = n - common + extra, at + 1
+        return best
+
+    def matches(self, text: str, at: list[tuple[int, int]]) -> list[tuple[int, str, float, list[str], list[str]]]:
+        """(place, license, reduction, missing, extra) of the best match among the words at `at`."""
+        own = [text[a:b].lower() for a, b in at]
+        free, heap, out = list(own), [], []
+
+        def offer(t: int, first: int) -> None:
+            if hit := self.window(t, free, first):
+                name, _, compressor = self.known[t]
+                block = text[at[first][0] : at[hit[1] - 1][1]].encode()
+                alone = len(self.plain.compress(block))
+                saved = alone - len(compressor.compress(block))
+                heapq.heappush(heap, (hit[0], -saved, name, first, hit[1], t, saved / alone))
+
+        for t, first in self.starts(own):
+            offer(t, first)
+        if heap:
+            _, _, name, first, after, t, gain = heapq.heappop(heap)
+            missing, between, _ = wording(self.known[t][1], free[first:after])
+            out.append((at[first][0], name, gain, missing, [own[first + j] for j in between]))
+        return out
 
     def best(self, block: bytes) -> tuple[str, float, list[str], list[str]] | None:
         """The confirmed template with fewest differing words."""
-        own, found = words(block.decode(errors="replace")), []
-        for gain, name, template in self.rank(block):
-            missing, extra, common = wording(template, own)
-            if common >= WORDING * len(template) and len(extra) <= EXTRA * len(template):
-                found.append((len(missing) + len(extra), -gain, name, missing, extra))
-        return (found[0][2], -found[0][1], *found[0][3:]) if found and found.sort() is None else None
+        text = block.decode(errors="replace")
+        found = self.matches(text, spans(text))
+        return found[0][1:] if found else None
 
     def text(self, text: str | None) -> dict:
-        raw, blocks, found = (text or "").encode(), 0, []
-        if CANDIDATE.search(raw):
-            for k, line in enumerate(raw.split(b"\n")):
+        text, blocks, found = text or "", 0, []
+        if CANDIDATE.search(text):
+            for k, line in enumerate(text.split("\n")):
                 if CANDIDATE.search(line):
                     blocks += 1
-                    # A very long line is looked at around its licensing words.
-                    for part in [line] if len(line) <= 2000 else [line[max(0, x.start() - 300) : x.end() + 300] for x in CANDIDATE.finditer(line)]:
-                        if hit := self.best(part):
-                            found.append({"line": k, "license": hit[0], "reduction": hit[1], "missing": hit[2], "extra": hit[3]})
+                    found += [{"line": k, "license": name, "reduction": gain, "missing": missing, "extra": extra} for _, name, gain, missing, extra in self.matches(line, spans(line))]
         return {"blocks": blocks, "found": found}
 
 

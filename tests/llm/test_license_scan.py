@@ -19,3 +19,11 @@ def test_notice_inside_a_paragraph(name, times):
     found = I.Scanner(I.TEMPLATES).text(text)["found"]
     assert [(f["license"], f["missing"], f["extra"]) for f in found] == [(name, [], [])]
     assert found[0]["reduction"] == I.Scanner(I.TEMPLATES).text(I.TEMPLATES[name])["found"][0]["reduction"] > 0.4
+
+
+def test_every_license_of_a_line():
+    assert names("Released under the MIT License. Licensed under the Apache License, Version 2.0.") == ["MIT", "Apache-2.0"]
+    assert names(" ".join(I.TEMPLATES[n] for n in ("CC-BY-4.0", "GPL-2.0", "MIT", "CC-BY-SA-4.0", "MPL-2.0"))) == ["CC-BY-4.0", "GPL-2.0", "MIT", "CC-BY-SA-4.0", "MPL-2.0"]
+    # A notice is no second license by words that the better match has; one said twice on a line is one.
+    assert all(names(t) == [n] for n, t in I.TEMPLATES.items())
+    assert names("Released under the MIT License. Released under the MIT License.") == ["MIT"]

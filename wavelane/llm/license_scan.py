@@ -7,8 +7,11 @@ subsequence must hold at least `WORDING` of the template's words and no more tha
 template's words in any order are skipped, which loses nothing. A confirmed window
 is compressed with its template as a raw zstandard dictionary; its reduction is
 the share of bytes that saves against no dictionary, so text around a notice
-doesn't lessen it. Fewest differing words win, then most bytes saved. The words
-that differ are reported.
+doesn't lessen it. The words that differ are reported.
+
+All templates are tried, and every match is reported whose matched words no better
+one has: fewest differing words come first, then most bytes saved. A template that
+matches several times on a line is reported once, by its best match there.
 
 Defined results: null text, empty text and text without a candidate have no
 blocks and no licenses. Rows are judged one by one, so repeats and null ids
@@ -155,7 +158,10 @@ class Scanner:
         return best
 
     def matches(self, text: str, at: list[tuple[int, int]]) -> list[tuple[int, str, float, list[str], list[str]]]:
-        """(place, license, reduction, missing, extra) of the best match among the words at `at`."""
+        """(place, license, reduction, missing, extra) of all matches among the words at `at`.
+
+        The best is taken first; its words then count for no other match.
+        """
         own = [text[a:b].lower() for a, b in at]
         free, heap, out = list(own), [], []
 
@@ -169,10 +175,16 @@ class Scanner:
 
         for t, first in self.starts(own):
             offer(t, first)
-        if heap:
-            _, _, name, first, after, t, gain = heapq.heappop(heap)
-            missing, between, _ = wording(self.known[t][1], free[first:after])
-            out.append((at[first][0], name, gain, missing, [own[first + j] for j in between]))
+        while heap:
+            differing, _, name, first, after, t, gain = heapq.heappop(heap)
+            # A window that lost words to a better match since comes back with what it has left.
+            if self.window(t, free, first) != (differing, after):
+                offer(t, first)
+                continue
+            missing, between, common = wording(self.known[t][1], free[first:after])
+            out.append((at[first + common[0]][0], name, gain, missing, [own[first + j] for j in between]))
+            for j in common:
+                free[first + j] = None
         return out
 
     def best(self, block: bytes) -> tuple[str, float, list[str], list[str]] | None:
@@ -187,7 +199,10 @@ class Scanner:
             for k, line in enumerate(text.split("\n")):
                 if CANDIDATE.search(line):
                     blocks += 1
-                    found += [{"line": k, "license": name, "reduction": gain, "missing": missing, "extra": extra} for _, name, gain, missing, extra in self.matches(line, spans(line))]
+                    once = {}
+                    for at, name, gain, missing, extra in self.matches(line, spans(line)):
+                        once.setdefault(name, (at, {"line": k, "license": name, "reduction": gain, "missing": missing, "extra": extra}))
+                    found += [f for _, f in sorted(once.values(), key=lambda x: x[0])]
         return {"blocks": blocks, "found": found}
 
 

@@ -27,3 +27,35 @@ def test_every_license_of_a_line():
     # A notice is no second license by words that the better match has; one said twice on a line is one.
     assert all(names(t) == [n] for n, t in I.TEMPLATES.items())
     assert names("Released under the MIT License. Released under the MIT License.") == ["MIT"]
+
+
+def wrapped(text, width, mark):
+    import textwrap
+
+    return "\n".join(mark + line for line in textwrap.wrap(text, width, break_long_words=False, break_on_hyphens=False))
+
+
+@pytest.mark.parametrize("mark", ["", " * ", "// ", "-- ", "\t#  "])
+@pytest.mark.parametrize("width", [12, 40, 72])
+def test_wrapped_notices(width, mark):
+    for name, notice in I.TEMPLATES.items():
+        found = I.Scanner(I.TEMPLATES).text(f"one\n{wrapped(PROSE * 4, width, mark)}\n{wrapped(notice, width, mark)}\n{wrapped(PROSE * 4, width, mark)}")["found"]
+        line = 1 + len(wrapped(PROSE * 4, width, mark).split("\n"))
+        assert [(f["license"], f["line"], f["missing"], f["extra"]) for f in found] == [(name, line, [], [])]
+
+
+def test_blocks_lose_nothing():
+    """Notices at random places and distances, against the whole text as one block."""
+    import random
+
+    r, s = random.Random(5), I.Scanner(I.TEMPLATES)
+    for _ in range(150):
+        parts = []
+        for _ in range(r.randint(1, 5)):
+            notice = [w for w in r.choice(list(I.TEMPLATES.values())).split() if r.random() < 0.97 or I.CANDIDATE.search(w) or w in ("public", "domain")]
+            parts += [*notice, *(r.choice(["", "--", "wood", "x" * 900, "tree", "été"]) for _ in range(r.choice([0, 3, 60, 200])))]
+        text = "".join(w + r.choice([" ", " ", "\n", "\r\n\t"]) for w in parts)
+        got = s.text(text)["found"]
+        assert len({(f["line"], f["license"]) for f in got}) == len(got)
+        want = {(text.count("\n", 0, at), name) for at, name, *_ in s.matches(text, I.spans(text))}
+        assert {(f["line"], f["license"]) for f in got} == want

@@ -1,6 +1,8 @@
 """License scans by conditional compression.
 
-A candidate block is a line with a licensing word. Each window of it of about a
+A candidate block reaches from a licensing word as many words to both sides as the
+longest window has, over line ends, white space and comment marks; so a notice may
+be wrapped over lines. Blocks that overlap are one. Each window of a block of about a
 template's length is held against the template word by word: the longest common
 subsequence must hold at least `WORDING` of the template's words and no more than
 `EXTRA` other words may stand between them. Only windows that lack too many of the
@@ -11,7 +13,9 @@ doesn't lessen it. The words that differ are reported.
 
 All templates are tried, and every match is reported whose matched words no better
 one has: fewest differing words come first, then most bytes saved. A template that
-matches several times on a line is reported once, by its best match there.
+matches several times on a line is reported once, by its best match there. A match
+belongs to the line of its first matched word; `blocks` counts the lines on which
+a licensing word begins.
 
 Defined results: null text, empty text and text without a candidate have no
 blocks and no licenses. Rows are judged one by one, so repeats and null ids
@@ -58,7 +62,7 @@ TEMPLATES = {
     "CC0-1.0": "This work is dedicated to the public domain under CC0 1.0.",
 }
 
-CANDIDATE = re.compile(r"licen[cs]|copyright|permission|redistribut|public domain|spdx", re.I | re.A)
+CANDIDATE = re.compile(r"licen[cs]|copyright|permission|redistribut|public\W+domain|spdx", re.I | re.A)
 _RUN = re.compile(r"[\w.+-]+")
 
 RESULT = T.StructType([
@@ -115,6 +119,7 @@ class Scanner:
                 self.holders.setdefault(w, []).append(len(self.known))
             self.known.append((name, ws, zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_content_size=False, write_dict_id=False)))
             self.marks.append(marks)
+        self.reach = max((self.longest(len(ws)) for _, ws, _ in self.known), default=0)
 
     @staticmethod
     def longest(n: int) -> int:
@@ -193,17 +198,52 @@ class Scanner:
         found = self.matches(text, spans(text))
         return found[0][1:] if found else None
 
+    def stretches(self, text: str) -> tuple[list[list[int]], int]:
+        """Where the blocks begin and end, those that overlap as one; lines on which a licensing word begins."""
+        out, lines, line_end = [], 0, -1
+        for x in CANDIDATE.finditer(text):
+            if x.start() > line_end:
+                lines += 1
+                line_end = text.find("\n", x.start())
+                line_end = len(text) if line_end < 0 else line_end
+            left, after = self.reach, x.end()
+            for m in _RUN.finditer(text, x.end()):
+                left -= bool(m.group().strip(".+-"))
+                after = m.end()
+                if left < 0:  # one more, as the first may be the rest of the licensing word
+                    break
+            if out and x.start() <= out[-1][1]:
+                out[-1][1] = max(after, out[-1][1])
+                continue
+            size = 16 * self.reach
+            while True:
+                low = max(0, x.start() - size)
+                before = spans(text, low, x.start())
+                if not low or len(before) > self.reach + 1:
+                    break
+                size *= 2
+            # The earliest one may be the rest of a word, unless it is the text's first; the last may belong to the licensing word.
+            first = 0 if not low else before[-self.reach - 1][0]
+            if out and first <= out[-1][1]:
+                out[-1][1] = max(after, out[-1][1])
+            else:
+                out.append([first, after])
+        return out, lines
+
     def text(self, text: str | None) -> dict:
-        text, blocks, found = text or "", 0, []
-        if CANDIDATE.search(text):
-            for k, line in enumerate(text.split("\n")):
-                if CANDIDATE.search(line):
-                    blocks += 1
-                    once = {}
-                    for at, name, gain, missing, extra in self.matches(line, spans(line)):
-                        once.setdefault(name, (at, {"line": k, "license": name, "reduction": gain, "missing": missing, "extra": extra}))
-                    found += [f for _, f in sorted(once.values(), key=lambda x: x[0])]
-        return {"blocks": blocks, "found": found}
+        text, found = text or "", []
+        stretches, blocks = self.stretches(text)
+        line = at = 0
+        for first, after in stretches:
+            for place, name, gain, missing, extra in self.matches(text, spans(text, first, after)):
+                found.append((place, len(missing) + len(extra), {"license": name, "reduction": gain, "missing": missing, "extra": extra}))
+        once = {}
+        for place, differing, f in sorted(found, key=lambda x: x[:2]):
+            line += text.count("\n", at, place)
+            at = place
+            if (line, f["license"]) not in once or differing < once[line, f["license"]][0]:
+                once[line, f["license"]] = differing, {"line": line, **f}
+        return {"blocks": blocks, "found": [f for _, f in once.values()]}
 
 
 def scan_licenses(docs: DataFrame, *, text: str = "text", templates: dict[str, str] | None = None, into: str = "licenses") -> DataFrame:

@@ -8,7 +8,13 @@ the sample, as coded by beam search. They are fitted on at most `SAMPLE` vectors
 A search scans all codes: a query's inner products with all words make a lookup
 table, a row's score is the sum of its words' entries less half its stored
 squared norm. The best `RERANK` rows of a query are reranked by the exact cosine
-of the original vectors in double precision.
+of the original vectors in double precision. The `k`-th best of these is what any
+other row must reach. Coding leaves a remainder whose length is stored, and by the
+Cauchy-Schwarz inequality a row's cosine is at most its decoded one plus that
+length; a second scan gives every row that may reach the mark its exact cosine,
+within the task and `PART` rows at a time, and passes on the best only. So the
+neighbours are the exact ones however many near copies share a code; the codes
+only save exact cosines.
 
 Equal vectors are indexed once, with their smallest ids, so a vector that a third
 of all rows share costs one row and hides nothing. Queries pass in blocks of at
@@ -28,8 +34,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import shared_dir, stored, table
+from .common import drop_dir, shared_dir, stored, table
 
 BOOKS, WORDS = 40, 16
 SAMPLE = 8192
@@ -38,6 +45,10 @@ RERANK = 400
 BLOCK = 4096
 #: Codes that one task scans.
 SCAN = 65_536
+#: Rows that one step of the second scan holds against a block of queries.
+PART = 512
+#: More than the rounding of scores added up in single precision, and of products in double precision.
+SLACK, ROUNDING = 1e-4, 1e-9
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 10) -> np.ndarray:
@@ -114,22 +125,24 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def build(distinct: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, Quantiser | None]:
-    """(rep, code, half): the code of each vector and half its squared norm as decoded."""
+    """distinct with code, half and rest: a vector's code, half its squared norm as decoded, and how far that is from it."""
+    schema = T.StructType([*distinct.schema.fields, T.StructField("code", T.BinaryType()), T.StructField("half", T.DoubleType()), T.StructField("rest", T.DoubleType())])
     rows = distinct.select("v", "rep").orderBy(F.xxhash64("rep"), "rep").limit(sample).collect()
     if not rows:
-        return distinct.select("rep", F.lit(None).cast("binary").alias("code"), F.lit(0.0).alias("half")), None
+        return distinct.sparkSession.createDataFrame([], schema), None
     q = Quantiser(_unit(np.array([r[0] for r in rows])))
     shared = distinct.sparkSession.sparkContext.broadcast(q)
-    schema = T.StructType([T.StructField("rep", distinct.schema["rep"].dataType), T.StructField("code", T.BinaryType()), T.StructField("half", T.DoubleType())])
 
     def go(batches):
         for batch in batches:
             if batch.num_rows:
-                codes = shared.value.encode(_unit(_matrix(batch.column("v"))))
-                half = 0.5 * (shared.value.decode(codes) ** 2).sum(1)
-                yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(half)], names=schema.names)
+                x = _unit(_matrix(batch.column("v")))
+                codes = shared.value.encode(x)
+                decoded = shared.value.decode(codes)
+                half, rest = 0.5 * (decoded**2).sum(1), np.sqrt(((x - decoded) ** 2).sum(1))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(half), pa.array(rest)], names=schema.names)
 
-    return distinct.select("rep", "v").mapInArrow(go, schema), q
+    return distinct.mapInArrow(go, schema), q
 
 
 def scan(codes: DataFrame, q: Quantiser, ids: list, queries: np.ndarray, best: int) -> DataFrame:
@@ -161,7 +174,60 @@ def scan(codes: DataFrame, q: Quantiser, ids: list, queries: np.ndarray, best: i
             for j in range(len(names)):
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names[j], len(score))), pa.array(rep[:, j]), pa.array(score[:, j].astype(float))], names=schema.names)
 
-    return codes.mapInArrow(go, schema)
+    return codes.select("rep", "code", "half").mapInArrow(go, schema)
+
+
+def _bounds(part: pa.RecordBatch, tables: np.ndarray) -> np.ndarray:
+    """(rows, queries): what no cosine exceeds."""
+    code = np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(part.num_rows, -1)
+    s = np.repeat((part.column("rest").to_numpy() + SLACK).astype(np.float32)[:, None], tables.shape[2], axis=1)
+    for m in range(code.shape[1]):
+        s += tables[m][code[:, m]]
+    return s
+
+
+def complete(codes: DataFrame, q: Quantiser, ids: list, queries: np.ndarray, marks: np.ndarray, best: int) -> DataFrame:
+    """query_id, ids, score of the `best` rows that each task finds for each query of a block, by exact cosines.
+
+    marks: the cosine a query has found already; all rows that may reach it are looked at.
+    """
+    queries = _unit(queries)
+    tables = np.einsum("nd,mkd->mkn", queries, q.words).astype(np.float32)
+    shared = codes.sparkSession.sparkContext.broadcast((np.array(ids), queries, tables, marks))
+    kind = codes.schema["rep"].dataType
+    schema = T.StructType([T.StructField("query_id", kind), T.StructField("ids", T.ArrayType(kind)), T.StructField("score", T.DoubleType())])
+
+    def go(batches):
+        arrow = to_arrow_schema(schema)
+        names, queries, tables, marks = shared.value
+        marks, found = marks.copy(), [[] for _ in names]
+        for batch in batches:
+            for i in range(0, batch.num_rows, PART):
+                part = batch.slice(i, PART)
+                maybe = _bounds(part, tables) >= marks.astype(np.float32)
+                rows, cols = np.flatnonzero(maybe.any(axis=1)), np.flatnonzero(maybe.any(axis=0))
+                if not len(rows):
+                    continue
+                part = part.take(pa.array(rows))
+                v = _unit(_matrix(part.column("v")))
+                x, y = np.nonzero(v @ queries[cols].T >= marks[cols] - ROUNDING)
+                y = cols[y]
+                score = np.concatenate([np.zeros(0), *[(queries[y[c : c + 65_536]] * v[x[c : c + 65_536]]).sum(axis=1) for c in range(0, len(x), 65_536)]]).clip(-1, 1)
+                by_id = np.argsort(np.argsort(part.column("rep").to_numpy(zero_copy_only=False)))
+                order = np.lexsort((by_id[x], -score, y))
+                x, y, score = x[order], y[order], score[order]
+                first = np.searchsorted(y, y)
+                top = np.arange(len(y)) - first < best
+                for r, j, c in zip(x[top].tolist(), y[top].tolist(), score[top].tolist(), strict=True):
+                    found[j].append((-c, part.column("rep")[r].as_py(), part.column("ids")[r].as_py()))
+                for j in np.unique(y).tolist():
+                    if len(found[j]) >= best:
+                        found[j] = sorted(found[j])[:best]
+                        marks[j] = max(marks[j], -found[j][-1][0])
+        rows = [(name, ids, -c) for name, own in zip(names.tolist(), found, strict=True) for c, _, ids in own]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], arrow.field(k).type) for k in range(3)], schema=arrow)
+
+    return codes.select("rep", "ids", "v", "code", "rest").mapInArrow(go, schema)
 
 
 def _cosines(pairs: DataFrame, kind) -> DataFrame:
@@ -185,23 +251,32 @@ def search(vectors: DataFrame, is_query, *, k: int = 5, vec_id: str = "vec_id",
     rows = stored(usable(vectors, vec_id, embedding), f"{folder}/rows")
     kind = rows.schema["id"].dataType
     distinct = stored(distinct_vectors(rows, k + 1), f"{folder}/distinct")
-    codes, q = build(distinct)
     queries = stored(rows.filter(is_query).dropDuplicates(["id"]).select(F.col("id").alias("query_id"), F.col("v").alias("q")), f"{folder}/queries")
+    drop_dir(spark, f"{folder}/rows")
+    codes, q = build(distinct)
     n = queries.count()
-    found = spark.createDataFrame([], T.StructType([T.StructField("query_id", kind), T.StructField("rep", kind), T.StructField("approx", T.DoubleType())]))
+    found = spark.createDataFrame([], T.StructType([T.StructField("query_id", kind), T.StructField("ids", T.ArrayType(kind)), T.StructField("score", T.DoubleType())]))
     if q is not None and n:
         codes = stored(codes, f"{folder}/codes")
-        codes = codes.coalesce(max(1, -(-codes.count() // SCAN)))
+        drop_dir(spark, f"{folder}/distinct")
+        dealt = codes.coalesce(max(1, -(-codes.count() // SCAN)))
         blocks = -(-n // block)
         of = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
         best = Window.partitionBy("query_id").orderBy(F.desc("approx"), "rep")
         for b in range(blocks):
             own = queries.filter(of == b).collect()  # about `block` rows
             if own:
-                hits = scan(codes, q, [r[0] for r in own], np.array([r[1] for r in own]), rerank)
-                found = found.union(stored(hits.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= rerank).drop("r"), f"{folder}/found-{b}"))
-    pairs = found.join(queries, "query_id").join(distinct, "rep")
-    scored = _cosines(pairs, kind).select("query_id", "score", F.explode("ids").alias("vec_id")).filter("vec_id <> query_id")
+                ids, vectors = [r[0] for r in own], np.array([r[1] for r in own])
+                hits = scan(dealt, q, ids, vectors, rerank).withColumn("r", F.row_number().over(best)).filter(F.col("r") <= rerank).drop("r")
+                near = _nearest(_cosines(hits.join(queries, "query_id").join(codes, "rep"), kind), k)
+                marks = dict(near.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("s")).filter(F.col("n") == k).select("query_id", "s").collect())
+                found = found.union(stored(complete(dealt, q, ids, vectors, np.array([marks.get(i, -2.0) for i in ids]), k + 1), f"{folder}/found-{b}"))
+    return _nearest(found, k)
+
+
+def _nearest(found: DataFrame, k: int) -> DataFrame:
+    """The k best of each query, from (query_id, ids, score)."""
+    scored = found.select("query_id", "score", F.explode("ids").alias("vec_id")).filter("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

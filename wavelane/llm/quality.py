@@ -163,21 +163,25 @@ class LabelModel:
         return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
 
 
-def features(w: V.Words) -> np.ndarray:
-    """The hashed feature at each byte: it and the three before it, folded; a word said again is one letter R."""
+def features(w: V.Words, off: np.ndarray) -> np.ndarray:
+    """The hashed feature at each byte: it and the three before it in its document, folded; a word said again is one letter R."""
     c = _FOLD[w.buf]
     again = np.flatnonzero(repeats(w))
     size = w.end[again] - w.start[again]
     c[np.repeat(w.start[again], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)] = 82
     run = c.copy()
     for k in (1, 2, 3):
-        run[k:] |= c[:-k] << V.U(8 * k)
+        before = c[:-k] << V.U(8 * k)
+        # The first k bytes of a document have none of its own so far before them.
+        start = (off[:-1, None] + np.arange(k)).ravel() - k
+        before[start[(start >= 0) & (start < len(before))]] = 0
+        run[k:] |= before
     return (V.mix(run) >> V.U(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
 
 
 def _counts(w: V.Words, off: np.ndarray) -> list[bytes]:
     """Each document's feature counts; packed, as most are 0 and the driver collects them."""
-    f = features(w)
+    f = features(w, off)
     return [zlib.compress(np.minimum(np.bincount(f[a:b], minlength=BUCKETS), 65535).astype("<u2").tobytes(), 1) for a, b in zip(off[:-1], off[1:], strict=True)]
 
 
@@ -203,8 +207,9 @@ class Scorer:
         self.w, self.b = (w * self.scale / 32).astype(np.float64), float(b)
 
     def scores(self, w: V.Words, off: np.ndarray) -> np.ndarray:
-        total = np.append(0, np.cumsum(self.w[features(w)]))
-        z = (total[off[1:]] - total[off[:-1]]) / np.maximum(np.diff(off), 1) + self.b
+        # Added up from each document's start, so the rounding is its own as well.
+        total = np.bincount(np.repeat(np.arange(w.docs), np.diff(off)), self.w[features(w, off)], w.docs)
+        z = total / np.maximum(np.diff(off), 1) + self.b
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 

@@ -12,7 +12,10 @@ starts anew at a word that no item holds, this changes no result.
 
 Defined results: null or word-less text has n_words 0, no hits and is not
 contaminated; items without words match nothing; repeated documents are judged
-row by row; repeated item texts all count. An input column named like the result
+row by row; repeated item texts all count. Items whose id is null are left out by
+default; op1 and `decontaminate` take them in: their words hit, and in a document's
+items all of them are one null, which op1 counts in n_items and leaves out of
+items_sha256, as its SQL does. An input column named like the result
 column is replaced. Empty tables give empty (documents) or hit-free (items)
 results.
 """
@@ -57,7 +60,7 @@ def words(text: str | None) -> list[bytes]:
 class Automaton:
     """Generalised suffix automaton of the word lists of some items."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int = WINDOW):
         self.window = window
         self.ids: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
@@ -192,6 +195,11 @@ def _runs(possible: np.ndarray, ptr: np.ndarray, least: int) -> list[tuple[int,
     return list(zip(doc.tolist(), first.tolist(), after.tolist(), strict=True))
 
 
+def _sorted(names: set[str | None]) -> list[str | None]:
+    """Null, which stands for all items without id, comes last."""
+    return sorted(names, key=lambda x: (x is None, x))
+
+
 def _scan(part: pa.RecordBatch, column: str, auto: Automaton) -> list[dict]:
     buf, off = V.utf8(part.column(column))
     w = V.Words(buf, off, _TABLE)
@@ -211,7 +219,7 @@ def _scan(part: pa.RecordBatch, column: str, auto: Automaton) -> list[dict]:
         if found:
             items.setdefault(doc, set()).update(found)
     for doc, found in items.items():
-        out[doc]["items"] = sorted({auto.names[k] for k in found})
+        out[doc]["items"] = _sorted({auto.names[k] for k in found})
     return out
 
 
@@ -226,15 +234,15 @@ def _union(a: dict, b: dict) -> dict:
                 merged[-1] |= {"after": s["after"], "after_byte": s["after_byte"]}
         else:
             merged.append(s)
-    return {"n_words": a["n_words"], "n_hit": sum(s["after"] - s["first"] for s in merged), "spans": merged, "items": sorted({*a["items"], *b["items"]})}
+    return {"n_words": a["n_words"], "n_hit": sum(s["after"] - s["first"] for s in merged), "spans": merged, "items": _sorted({*a["items"], *b["items"]})}
 
 
-def item_blocks(items: DataFrame, item_id: str, item_text: str, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """Items in blocks of a bounded number of words, as the driver reads them row by row."""
+def item_blocks(items: DataFrame, item_id: str, item_text: str, block_words: int, unnamed: bool = False) -> Iterator[list[tuple[str | None, list[bytes]]]]:
+    """Items in blocks of a bounded number of words, as the driver reads them row by row; those without id only if `unnamed`."""
     block, held = [], 0
     for name, text in items.select(F.col(item_id).cast("string"), F.col(item_text)).toLocalIterator():
         ws = words(text)
-        if name is None or not ws:
+        if (name is None and not unnamed) or not ws:
             continue
         if held and held + len(ws) > block_words:
             yield block
@@ -244,15 +252,15 @@ def item_blocks(items: DataFrame, item_id: str, item_text: str, block_words: int
     yield block
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, into: str = "contamination", cut: bool = False) -> DataFrame:
+def find_contamination(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, into: str = "contamination", cut: bool = False, unnamed: bool = False) -> DataFrame:
     """docs with a struct column `into`: n_words, n_hit, spans (words and bytes), items.
 
     One pass over the documents for each `block_words` of item words; each pass
     broadcasts one automaton of that bounded size. With cut, the last pass also
-    takes the hit spans out of the text.
+    takes the hit spans out of the text. With unnamed, items without id count.
     """
     spark, out = docs.sparkSession, docs
-    blocks = item_blocks(items, item_id, item_text, block_words)
+    blocks = item_blocks(items, item_id, item_text, block_words, unnamed)
     block, later = next(blocks), False
     while block is not None:
         following = next(blocks, None)
@@ -295,14 +303,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, text: str = "text", **op
     Keeps all columns; only `text` changes, where a span goes.
     """
     into = "__contamination"
-    found = find_contamination(docs, items, text=text, into=into, cut=True, **options)
+    found = find_contamination(docs, items, text=text, into=into, cut=True, **{"unnamed": True, **options})
     return found.filter(~contaminated(F.col(f"{into}.n_hit"), F.col(f"{into}.n_words"))).drop(into)
 
 
 def op1_decontamination(spark, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     c = F.col("contamination")
-    return find_contamination(docs.select("doc_id", "text"), items).select(
+    return find_contamination(docs.select("doc_id", "text"), items, unnamed=True).select(
         "doc_id",
         c.n_words.alias("n_words"),
         c.n_hit.alias("n_hit"),

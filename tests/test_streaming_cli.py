@@ -25,8 +25,7 @@ def staged(spark, folder):
     sched = GRID.schedule(spark.createDataFrame([("a", TOTAL)], "track string, total long"), "total", "track").select("track", "win_id", "next_start")
     wins = windows(frames(spark), GRID, ["track"]).withColumn("win_id", F.col("win_id").cast("int")).join(sched, ["track", "win_id"])
     wins = wins.select("track", "win_id", "start", "next_start", "is_first", "is_last", "l", "r")
-    for k in range(wins.count()):
-        wins.filter(F.col("win_id") == k).coalesce(1).write.mode("append").parquet(folder)
+    st.stage_windows(wins, folder)
     return wins.count()
 
 
@@ -56,12 +55,42 @@ def test_stopped_and_resumed_is_the_whole_run(spark, tmp_path):
     assert all((again[p].to_numpy().view("i4") == whole[p].to_numpy().view("i4")).all() for p in PARTS)
 
     other = Job(1, TOTAL, n, 100, 30, 5, 6, 7, 9)
-    assert not st.claim(f"{tmp_path}/cut", other) and not glob.glob(f"{tmp_path}/cut/out")
-    assert st.claim(f"{tmp_path}/cut", other)
-    st.discard(f"{tmp_path}/cut")
+    assert not st.claim(spark, f"{tmp_path}/cut", other) and not glob.glob(f"{tmp_path}/cut/out")
+    assert st.claim(spark, f"{tmp_path}/cut", other)
+    st.discard(spark, f"{tmp_path}/cut")
     assert not glob.glob(f"{tmp_path}/cut")
 
 
+@pytest.mark.parametrize("total", [0, 80, 100, 150])
+def test_as_many_windows_as_there_are(spark, tmp_path, total):
+    """Runs end on tracks of none, one and two windows, whatever most_batches says."""
+    rows = frames(spark).filter(F.col("pos") < total).withColumn("total", F.lit(total).cast("long"))
+    sched = GRID.schedule(spark.createDataFrame([("a", total)] if total else [], "track string, total long"), "total", "track").select("track", "win_id", "next_start")
+    wins = windows(rows, GRID, ["track"]).withColumn("win_id", F.col("win_id").cast("int")).join(sched, ["track", "win_id"])
+    st.stage_windows(wins.select("track", "win_id", "start", "next_start", "is_first", "is_last", "l", "r"), f"{tmp_path}/wins")
+    job = Job(1, total, 2, 100, 30, 5, 6, 7, 8)
+    for most in (5, None):
+        st.run(spark, f"{tmp_path}/wins", f"{tmp_path}/run", job, make, GRID, most_batches=most)
+        assert result(spark, f"{tmp_path}/run").pos.tolist() == list(range(total))
+
+
+def test_cancelled_during_the_run(spark, tmp_path):
+    n = staged(spark, f"{tmp_path}/wins")
+    job, flag = Job(1, TOTAL, n, 100, 30, 5, 6, 7, 8), CancelFlag()
+    seen = []
+
+    def progress(p, m):
+        seen.append(p)
+        if len(seen) == 3:
+            flag.cancel()
+
+    with pytest.raises(Cancelled):
+        st.run(spark, f"{tmp_path}/wins", f"{tmp_path}/run", job, make, GRID, Options(progress=progress).with_cancel(flag))
+    assert 3 <= len(glob.glob(f"{tmp_path}/run/out/epoch=*")) < n
+    assert st.run(spark, f"{tmp_path}/wins", f"{tmp_path}/run", job, make, GRID)
+    assert result(spark, f"{tmp_path}/run").pos.tolist() == list(range(TOTAL))
+
+
 def test_cancelled_before_it_starts_makes_nothing(spark, tmp_path):
     flag = CancelFlag()
     flag.cancel()
@@ -79,7 +108,7 @@ def test_options():
 def test_command_lines():
     a = cli.parse(["--model", "m.onnx", "--out", "o", "song.wav"])
     assert (a.model, a.out_dir, a.input, a.engine, a.window, a.threads, a.fresh, a.quiet) == ("m.onnx", "o", "song.wav", "auto", None, 4, False, False)
-    b = cli.parse(["x.wav", "-q", "--window=4s", "--fresh", "-t", "2", "-m=", "-o", "o"] if False else ["x.wav", "-q", "--window=4s", "--fresh", "-t", "2", "-m", "m", "-o", "o"])
+    b = cli.parse(["x.wav", "-q", "--window=4s", "--fresh", "-t", "2", "-m", "m", "-o", "o"])
     assert (b.window, b.threads, b.fresh, b.quiet) == (176_400, 2, True, True)
     assert cli.parse(["-h"]) == "help" and cli.parse(["--version"]) == "version"
     assert cli.choose_engine(a) == "onnx" and cli.choose_engine(cli.Args("m.safetensors", "i", "o")) == "network"

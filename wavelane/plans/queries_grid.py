@@ -157,12 +157,13 @@ def zero_filled(spark, sf_dir):
     return overlap.filled(stems(spark, sf_dir), longer, KEYS, ("voc_l",)).select("track", "pos", r6(F.col("voc_l")).alias("voc_l"))
 
 
-@query()
+@query(W + ASSIGNED + " SELECT track, pos, list_reduce(list(l::FLOAT * w::FLOAT ORDER BY win_id), lambda a, b: a + b)::DOUBLE AS sum FROM assigned GROUP BY track, pos")
 def single_precision_sum(spark, sf_dir):
     """F1 bit for bit in single precision: parts are added in window order."""
     rows = GRID.assign(events_signal(spark, sf_dir))
     w = GRID.fade(F.col("k"), F.col("is_first"), F.col("is_last")).cast("float")
-    return overlap.ordered_sum(rows.select("track", "pos", "win_id", (F.col("l").cast("float") * w).cast("float").alias("c")), ["track", "pos"])
+    sums = overlap.ordered_sum(rows.select("track", "pos", "win_id", (F.col("l").cast("float") * w).cast("float").alias("c")), ["track", "pos"])
+    return sums.withColumn("sum", F.col("sum").cast("double"))
 
 
 @query(W + STEMS + """, ends AS (SELECT track, next_start, win_id FROM sched), n AS (SELECT s.track, pos, min(win_id) AS win_id FROM stems s JOIN ends e ON s.track = e.track AND pos < next_start GROUP BY ALL)

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import admission, modelgraph, network, overlap
+from ..sources import files
 from ..sources.sidecar import Job
 from ..streaming import separate
 from .grid import Grid
-from .registry import GRID, events_signal, query, r6
+from .registry import GRID, events_signal, ordered_stems, query, r6
 
 SMALL = network.Shape(bands=6, n_fft=64, hop=16, dim=8, heads=2, head_dim=4, depth=2, mult=2)
 
@@ -93,20 +91,19 @@ def memory_snapshot(spark, sf_dir):
     return admission.snapshot_frame(spark).withColumn("ceiling", admission.ceiling())
 
 
-@query()
+@query(ordered_stems(500, 150))
 def streamed_stems(spark, sf_dir):
     """Stems by a stream of window files, stopped once and resumed from its checkpoint."""
     grid = Grid(500, 150)
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/wavelane-shared'}/stream-{uuid.uuid4().hex}".removeprefix("file://")
+    folder = files.shared_folder(spark, "stream")
     frames = events_signal(spark, sf_dir)
     sched = grid.schedule(frames.select("track", "total").distinct(), "total", "track").select("track", "win_id", "next_start")
     wins = overlap.windows(frames, grid, ["track"]).withColumn("win_id", F.col("win_id").cast("int")).join(sched, ["track", "win_id"])
-    wins = wins.select("track", "win_id", "start", "next_start", "is_first", "is_last", *[F.col(c).cast("array<float>").alias(c) for c in "lr"]).persist()
-    last = wins.agg(F.max("win_id")).first()[0]
-    for k in range(last + 1):  # a file a window, in order, as a live source would bring them
-        wins.filter(F.col("win_id") == k).coalesce(1).write.mode("append").parquet(f"{folder}/windows")
-    wins.unpersist()
-    job = Job(1, frames.count(), last + 1, grid.win, grid.overlap, 0, 0, 0, 0)
+    wins = wins.select("track", "win_id", "start", "next_start", "is_first", "is_last", *[F.col(c).cast("array<float>").alias(c) for c in "lr"])
+    separate.stage_windows(wins, f"{folder}/windows")
+    n = sched.agg(F.coalesce(F.max("win_id") + 1, F.lit(0))).first()[0]
+    job = Job(1, frames.count(), n, grid.win, grid.overlap, 0, 0, 0, 0)
     for most in (2, None):
         separate.run(spark, f"{folder}/windows", f"{folder}/run", job, lambda: overlap.ScaledMix(grid.win), grid, most_batches=most)
-    return spark.read.parquet(os.path.join(folder, "run", "out")).drop("epoch")
+    out = spark.read.schema(separate.OUTPUT).parquet(f"{folder}/run/out")
+    return out.select("track", "pos", *[F.col(p).cast("double").alias(p) for p in overlap.PARTS])

@@ -9,18 +9,20 @@ holds, and another job starts over.
 
 from __future__ import annotations
 
-import os
-import shutil
+import threading
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..config import CancelFlag, Options
+from ..config import Options
 from ..operators.overlap import PARTS, Separator
 from ..plans.grid import Grid
+from ..sources import files
 from ..sources.sidecar import Job
 
 WINDOWS = "track string, win_id int, start long, next_start long, is_first boolean, is_last boolean, l array<float>, r array<float>"
@@ -29,8 +31,20 @@ STATE = "sums array<float>, weights array<float>, upto long"
 
 
 def stage_windows(wins: DataFrame, folder: str) -> None:
-    """One file a window and track, so that a trigger can take one at a time."""
-    wins.repartition("win_id").write.partitionBy("win_id").mode("overwrite").parquet(folder)
+    """One file of rows for each window number, written in their order, so that a trigger takes one at a time.
+
+    Written in one job to a folder a number; the files are then moved beside one
+    another, as a stream reads the oldest first and its schema has win_id itself.
+    """
+    spark = wins.sparkSession
+    aside = f"{folder}-staging"
+    wins.withColumn("__w", F.col("win_id")).repartition("__w").write.partitionBy("__w").mode("overwrite").parquet(aside)
+    files.make_folder(spark, folder)
+    for number in sorted(int(name.partition("=")[2]) for name in files.names(spark, aside) if name.startswith("__w=")):
+        for name in files.names(spark, f"{aside}/__w={number}"):
+            if not name.startswith(("_", ".")):
+                files.move(spark, f"{aside}/__w={number}/{name}", f"{folder}/{number:09d}-{name}", stamp=number)
+    files.delete(spark, aside)
 
 
 def separated(stream: DataFrame, make: Callable[[], Separator], grid: Grid) -> DataFrame:
@@ -78,61 +92,69 @@ def separated(stream: DataFrame, make: Callable[[], Separator], grid: Grid) -> D
     return stream.groupBy("track").applyInPandasWithState(merge, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def claim(folder: str, job: Job) -> bool:
+def claim(spark: SparkSession, folder: str, job: Job) -> bool:
     """Whether a checkpoint in folder is this job's; if not, it goes and the folder is claimed."""
-    path = os.path.join(folder, "job")
     try:
-        with open(path) as f:
-            if Job.decode(f.read()) == job:
-                return True
-    except (OSError, ValueError):
+        if Job.decode(files.read_text(spark, f"{folder}/job") or "") == job:
+            return True
+    except ValueError:
         pass
-    shutil.rmtree(folder, ignore_errors=True)
-    os.makedirs(folder)
-    with open(f"{path}.new", "w") as f:
-        f.write(job.encode())
-    os.replace(f"{path}.new", path)
+    discard(spark, folder)
+    files.make_folder(spark, folder)
+    files.write_text(spark, f"{folder}/job", job.encode())
     return False
 
 
-def discard(folder: str) -> None:
+def discard(spark: SparkSession, folder: str) -> None:
     """Gives up a checkpoint; nothing else does."""
-    shutil.rmtree(folder, ignore_errors=True)
+    files.delete(spark, folder)
 
 
 def run(spark: SparkSession, windows_dir: str, folder: str, job: Job, make: Callable[[], Separator], grid: Grid, options: Options | None = None, most_batches: int | None = None) -> bool:
     """Separates the staged windows into folder/out; returns whether it resumed.
 
-    Cancellation and most_batches end the query between micro-batches, of one
-    window each; a later call goes on there.
+    Ends when all staged windows are done, or between micro-batches, of one window
+    file each, after most_batches of them or when cancelled; the latter raises
+    Cancelled. A later call goes on there. No windows give an empty table.
     """
     options = options or Options()
     options.cancel.check()  # before anything is created
-    resumed = claim(folder, job) and options.resume
+    resumed = claim(spark, folder, job) and options.resume
     if not resumed:
         for part in ("checkpoint", "out"):
-            discard(os.path.join(folder, part))
+            discard(spark, f"{folder}/{part}")
+    files.make_folder(spark, windows_dir)
     source = spark.readStream.schema(WINDOWS).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(windows_dir)
     done = {"batches": 0}
+    enough = threading.Event()
 
     def put(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(os.path.join(folder, "out", f"epoch={epoch}"))
+        if enough.is_set():  # stopping: this epoch is not committed, and runs again on resuming
+            raise InterruptedError("the run ends before this window")
+        batch.write.mode("overwrite").parquet(f"{folder}/out/epoch={epoch}")
         done["batches"] += 1
         options.report(done["batches"], max(job.n_chunks, 1), "window")
+        if options.cancel.is_cancelled() or (most_batches is not None and done["batches"] >= most_batches):
+            enough.set()
 
-    query = separated(source, make, grid).writeStream.foreachBatch(put).option("checkpointLocation", os.path.join(folder, "checkpoint")).trigger(processingTime="0 seconds").start()
+    query = separated(source, make, grid).writeStream.foreachBatch(put).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     try:
-        _drive(query, options.cancel, done, most_batches)
+        _drive(query, enough)
     finally:
         query.stop()
+    if not done["batches"] and not files.exists(spark, f"{folder}/out"):
+        spark.createDataFrame([], OUTPUT).write.parquet(f"{folder}/out/epoch=0")
+    options.cancel.check()
     return resumed
 
 
-def _drive(query, cancel: CancelFlag, done: dict, most: int | None) -> None:
-    if most is None and not cancel.is_cancelled():
-        query.processAllAvailable()
-        return
-    while query.isActive and not cancel.is_cancelled() and (most is None or done["batches"] < most):
-        query.awaitTermination(0.05)
-    if (e := query.exception()) is not None:
+def _drive(query, enough: threading.Event) -> None:
+    """Waits until all is done, or until a window is done and no more are wanted."""
+    while query.isActive and not enough.is_set():
+        try:
+            query.awaitTermination(0.05)
+        except StreamingQueryException:
+            if not enough.is_set():
+                raise
+    if not enough.is_set() and (e := query.exception()) is not None:
         raise e

@@ -1,16 +1,18 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-The index is a set of immutable runs, each a table of (128-bit key hash, owner)
-sorted by hash and without repeats; the owner is the smallest document that
-holds the line. Documents come in batches of ascending id. A batch's distinct
-hashes are merge-anti-joined with the runs, what is new becomes a run of level 0,
-and as soon as a level has `FANOUT` runs they are compacted into one run of the
-next level. Because batches ascend, the owner found first is the smallest of all.
+The index is a set of immutable runs of (128-bit key hash, owner), in buckets by
+hash, sorted and without repeats; the owner is the smallest document of the first
+batch that holds the line. Documents come in batches of ascending id. A batch's
+distinct hashes are staged in the same buckets and merge-joined with the runs as
+they lie; what the runs lack becomes a run of level 0, and as soon as a level has
+`FANOUT` runs they are merged into one run of the next. Within a call batches
+ascend, so the owner found first is the smallest of all. Given an `index` folder,
+the index stays there and a later call goes on with it: lines of documents added
+before belong to those.
 
 A line goes if its owner is another document. Hot lines: a batch's hashes are
-reduced to one row each before they meet the runs, and the join that names the
-losing lines has one row a hash on the index side, so Spark can split any hot
-partition of the other side.
+reduced to one row each before they meet the runs; the rows of a line that losing
+documents share are dealt over many tasks (`common.spread_join`).
 
 Defined results: null and empty texts are one empty line, which stays (keys of
 fewer than `MIN_CHARS` code points never go). A document whose id is null keeps
@@ -21,6 +23,8 @@ input column named like the result column is replaced.
 
 from __future__ import annotations
 
+import functools
+
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -29,11 +33,11 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import vectext as V
-from .common import drop_dir, shared_dir, table, with_struct, without
+from .common import SortedRuns, drop_dir, shared_dir, spread_join, stored, table, with_struct, without
 
 MIN_CHARS = 10
 BATCHES = 4
-FANOUT = 3
+FANOUT = 2
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _STRIP = V.SPACES
@@ -67,45 +71,24 @@ def line_hashes(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> Data
     return docs.select(doc_id, text).filter(F.col(doc_id).isNotNull()).mapInArrow(go, schema)
 
 
-class LineRuns:
-    """Levelled sorted runs of (key, owner) in a shared folder."""
-
-    def __init__(self, spark: SparkSession, folder: str, fanout: int = FANOUT):
-        self.spark, self.folder, self.fanout = spark, folder, fanout
-        self.levels: list[list[str]] = []
-        self.made = 0
-
-    def _write(self, run: DataFrame, level: int) -> None:
-        where = f"{self.folder}/run-{self.made}"
-        self.made += 1
-        run.sortWithinPartitions("key").write.parquet(where)
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(where)
+class LineIndex:
+    """Owners of all lines added so far, in a folder."""
 
-    def runs(self) -> list[str]:
-        return [r for level in self.levels for r in level]
+    def __init__(self, spark: SparkSession, folder: str, kind: T.DataType, fanout: int = FANOUT):
+        self.runs = SortedRuns(spark, folder, ["key"], f"key binary, owner {kind.simpleString()}", lambda old, new: {"owner": old["owner"]}, fanout)
 
-    def read(self) -> DataFrame:
-        return self.spark.read.parquet(*self.runs())
-
-    def add(self, batch: DataFrame) -> None:
-        """Adds the batch's (doc_id, key) rows; ids above those added before."""
-        new = batch.groupBy("key").agg(F.min("doc_id").alias("owner"))
-        if self.runs():
-            new = new.join(self.read().select("key"), "key", "left_anti")
-        self._write(new, 0)
-        level = 0
-        while len(self.levels[level]) >= self.fanout:
-            old, self.levels[level] = self.levels[level], []
-            self._write(self.spark.read.parquet(*old).repartition("key"), level + 1)
-            for where in old:
-                drop_dir(self.spark, where)
-            level += 1
-
-    def losing(self, batch: DataFrame) -> DataFrame:
-        """Rows of the batch whose line another document owns."""
-        return batch.join(self.read(), "key").filter(F.col("owner") != F.col("doc_id")).select("doc_id", "key")
+    def add(self, batch: DataFrame, folder: str) -> DataFrame:
+        """Adds the stored (doc_id, key) rows of a batch; gives those whose line another document owns."""
+        runs = self.runs
+        staged = runs.stage(batch.groupBy("key").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n")))
+        met = runs.matched(staged)
+        shared = met.filter("known IS NOT NULL OR n > 1").select("key", F.coalesce("known.owner", "owner").alias("owner"), "n")
+        shared = runs.run(lambda: stored(shared, f"{folder}/shared"))
+        losing = spread_join(batch, shared.drop("n"), ["key"], ["doc_id"], counts=shared.select("key", "n"))
+        losing = stored(losing.filter(F.col("owner") != F.col("doc_id")).select("doc_id", "key"), f"{folder}/losing")
+        drop_dir(runs.spark, f"{folder}/shared")
+        runs.append(met.filter("known IS NULL"))
+        return losing
 
 
 def _bounds(docs: DataFrame, doc_id: str, batches: int) -> list:
@@ -115,8 +98,11 @@ def _bounds(docs: DataFrame, doc_id: str, batches: int) -> list:
     return sorted(set(docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("double").alias("d")).approxQuantile("d", [k / batches for k in range(1, batches)], 0.01)))
 
 
-def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT, into: str = "lines") -> DataFrame:
-    """docs with a struct column `into`: n_lines, n_dropped, kept (text or null as it was)."""
+def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT, index: str | None = None, into: str = "lines") -> DataFrame:
+    """docs with a struct column `into`: n_lines, n_dropped, kept (text or null as it was).
+
+    index: a folder whose index the documents are added to; without one, theirs ends with the call.
+    """
     spark = docs.sparkSession
     folder = shared_dir(spark)
     batch = F.lit(0)
@@ -125,17 +111,11 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     lines = line_hashes(docs, doc_id, text, min_chars).withColumn("batch", batch)
     lines.write.partitionBy("batch").parquet(f"{folder}/lines")
     lines = spark.read.schema(lines.schema).parquet(f"{folder}/lines")
-    index = LineRuns(spark, f"{folder}/index", fanout)
-    losers = []
-    for k in range(batches):
-        now = lines.filter(F.col("batch") == k).drop("batch")
-        index.add(now)
-        where = f"{folder}/losing-{k}"
-        index.losing(now).write.parquet(where)
-        losers.append(where)
-    drop_dir(spark, f"{folder}/index")
+    held = LineIndex(spark, index or f"{folder}/index", docs.schema[doc_id].dataType, fanout)
+    losers = [held.add(lines.filter(F.col("batch") == k).drop("batch"), f"{folder}/batch-{k}") for k in range(batches)]
+    held.runs.close(delete=index is None)
     drop_dir(spark, f"{folder}/lines")
-    drops = spark.read.parquet(*losers).groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("key").alias("__drop"))
+    drops = functools.reduce(DataFrame.union, losers).groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("key").alias("__drop"))
     docs = without(docs, into)
     joined = docs.join(drops, docs[doc_id] == drops["__doc"], "left").drop("__doc")
     schema = with_struct(docs.schema, into, RESULT)

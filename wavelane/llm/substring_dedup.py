@@ -3,23 +3,30 @@
 A window is `WINDOW` consecutive words. Each window is anchored at the least
 hash among its `GRAM`-word grams, so equal windows have equal anchors, and
 consecutive windows mostly share one: there is an anchor for about every
-fourteenth word. A fingerprint row stands for the stretch of windows with one
-anchor: the gram's hash and a hash over all the stretch's windows in order.
+fourteenth word. A fingerprint stands for the stretch of windows with one anchor:
+the gram's hash and a 128-bit digest of the stretch's own words.
 
-The index is a set of immutable runs sorted by fingerprint. A batch's rows are
-reduced to one a fingerprint with a count and one occurrence, written as a run of
-level 0, and when a level has `FANOUT` runs they are merged into one of the next.
-Every batch is then merge-joined with the compacted runs:
+The index (`SubstringIndex`) is kept in a folder as immutable sorted runs, with two
+companions that are kept alike: what each anchor gram has been seen with, and the
+windows that were opened. `add` takes a batch of documents:
 
-* a fingerprint seen twice: all windows of all its stretches repeat;
+* its fingerprints, reduced to one row each, are merge-joined with the historical
+  runs. One that comes twice, here or in history, repeats: all windows of all its
+  stretches, in the batch and the first one of history;
 * an anchor gram with several fingerprints: stretches that differ somewhere may
-  still share windows. One stretch of each such fingerprint is opened and every
-  window in it verified by its own 128-bit hash over all words, counted with the
-  fingerprint's weight.
+  still share windows. One stretch of each such fingerprint, of history as well if
+  it was the gram's only one till now, is opened and every window in it verified by
+  a 128-bit digest of its own words, against the opened windows of history;
+* what is new becomes a run, and full levels are merged.
+
+So the spans that all calls give together are those of one call with all documents;
+a call also tells which spans of earlier documents have become repeats. Digests are
+taken over the very words (joined by a space), which makes a false match a matter of
+2 ** -128; texts themselves aren't compared.
 
 Words covered by repeated windows go, in every occurrence. Nothing is gathered
-for a hot passage: counts are partially aggregated, and joins have one row a
-fingerprint on one side, so Spark can split a hot partition of the other.
+for a hot passage: counts are partially aggregated, and where many stretches share a
+fingerprint, a window or a gram, joins deal them over many tasks.
 
 Defined results: null text has no words; documents of fewer than `WINDOW` words
 lose nothing. Rows with equal id and text each count as a place of their own.
@@ -29,50 +36,73 @@ like the result column is replaced.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import vectext as V
-from .common import drop_dir, shared_dir, stored, table, tidy, with_struct, without
+from .common import SortedRuns, drop_dir, shared_dir, spread_join, stored, table, with_struct, without
 
 WINDOW = 35
 GRAM = 8
-BATCHES = 3
-FANOUT = 3
+BATCHES = 2
+FANOUT = 2
 
 _TABLE = V.byte_table(V.SPACES, lower=False)
 
 RESULT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
-PRINTS = "g long, sig long, d long, th int, a int, m int"
-WINDOWS = "h1 long, h2 long, weight int, d long, th int, a int"
+PLACE = ["d", "th", "a", "m"]
+PLACES = "d long, th long, a int, m int"
+PRINT = ["x1", "x2", "g"]
+PRINTS = f"x1 long, x2 long, g long, {PLACES}"
+OPENED = ["y1", "y2"]
+WINDOWS = f"y1 long, y2 long, {PLACES}"
 
 
 def stretches(w: V.Words, window: int, gram: int):
-    """(anchor gram hash, stretch hash, document, first window, number of windows) of a slice."""
+    """(anchor gram hash, first word of the slice, document, number of windows) of each stretch of a slice."""
     n = len(w.start)
     at = np.flatnonzero(w.inside(window)) if n >= window else np.zeros(0, np.int64)
     if not len(at):
-        return (np.zeros(0, V.U), np.zeros(0, V.U), *(np.zeros(0, np.int64),) * 3)
-    grams, whole = w.windows(gram), w.windows(window)
+        return (np.zeros(0, V.U), *(np.zeros(0, np.int64),) * 3)
+    grams = w.windows(gram)
     low = V.U((1 << n.bit_length()) - 1)
     least = V.sliding_min((grams & ~low) | np.arange(n, dtype=V.U), window - gram + 1)
     anchor = (least[at] & low).astype(np.int64)
+    # Anchors of two documents differ, so no stretch reaches over an end.
     first = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
     a, m = at[first], np.diff(np.append(first, len(at)))
-    place = at - np.repeat(a, m)
-    sig = np.add.reduceat(whole[at] * V.powers(window)[place], first)
-    sig = V.mix(sig ^ V.mix((m * 64 + anchor[first] - a).astype(V.U)))
-    doc = np.searchsorted(w.ptr, a, side="right") - 1
-    return grams[anchor[first]], sig, doc, a - w.ptr[doc], m
+    return grams[anchor[first]], a, np.searchsorted(w.ptr, a, side="right") - 1, m
+
+
+class Joined:
+    """The words of a slice, joined by one space each."""
+
+    def __init__(self, w: V.Words):
+        size = w.end - w.start
+        self.after = np.cumsum(size + 1) - 1
+        self.first = self.after - size
+        raw = np.full(int(self.after[-1]) + 1 if len(size) else 0, 32, np.uint8)
+        step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        raw[np.repeat(self.first, size) + step] = w.buf[np.repeat(w.start, size) + step]
+        self.raw = memoryview(raw.tobytes())
+
+    def digests(self, first: np.ndarray, words: np.ndarray | int) -> np.ndarray:
+        """(n, 2): the 128-bit digest of so many words from each first one on."""
+        raw, digest = self.raw, xxhash.xxh3_128_digest
+        ends = self.after[first + words - 1]
+        return np.frombuffer(b"".join([digest(raw[a:b]) for a, b in zip(self.first[first].tolist(), ends.tolist(), strict=True)]), "<i8").reshape(-1, 2)
 
 
 def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """docs with d and th, which tell rows apart that differ in id or text."""
-    return docs.withColumn("__d", F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))).withColumn("__th", F.hash(F.xxhash64(text)))
+    """docs with __d and __th, 128 bits which tell rows apart that differ in id or text."""
+    return docs.withColumns({"__d": F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(F.col(doc_id))), "__th": F.xxhash64(F.col(text), F.col(doc_id).isNull())})
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -83,62 +113,18 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
         for batch in batches:
             for part in V.slices(batch, text):
                 w = V.Words(*V.utf8(part.column(text)), _TABLE)
-                g, sig, doc, a, m = stretches(w, window, gram)
+                g, a, doc, m = stretches(w, window, gram)
+                x = Joined(w).digests(a, m + window - 1)
                 d, th = (part.column(c).to_numpy(zero_copy_only=False)[doc] for c in ("__d", "__th"))
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((V.signed(g), V.signed(sig), d, th, a, m), arrow, strict=True)], schema=arrow)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((x[:, 0], x[:, 1], V.signed(g), d, th, a - w.ptr[doc], m), arrow, strict=True)], schema=arrow)
 
     return _rows(docs.select(doc_id, text), doc_id, text).select("__d", "__th", text).mapInArrow(go, schema)
 
 
-class FingerprintRuns:
-    """Levelled sorted runs of (g, sig, n, one): n is 1 or 2 (more than once), one an occurrence."""
-
-    def __init__(self, spark: SparkSession, folder: str, fanout: int = FANOUT):
-        self.spark, self.folder, self.fanout = spark, folder, fanout
-        self.levels: list[list[str]] = []
-        self.made = 0
-
-    def _write(self, run: DataFrame, level: int) -> None:
-        where = f"{self.folder}/run-{self.made}"
-        self.made += 1
-        run.sortWithinPartitions("g", "sig").write.parquet(where)
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(where)
-        tidy(self.spark)
-
-    def runs(self) -> list[str]:
-        return [r for level in self.levels for r in level]
-
-    def read(self) -> DataFrame:
-        return self.spark.read.parquet(*self.runs())
-
-    def _merge(self, level: int, into: int) -> None:
-        old, self.levels[level] = self.levels[level], []
-        merged = self.spark.read.parquet(*old).groupBy("g", "sig").agg(F.least(F.sum("n"), F.lit(2)).cast("int").alias("n"), F.min("one").alias("one"))
-        self._write(merged, into)
-        for where in old:
-            drop_dir(self.spark, where)
-
-    def add(self, prints: DataFrame) -> None:
-        new = prints.groupBy("g", "sig").agg(F.least(F.count("*"), F.lit(2)).cast("int").alias("n"), F.min(F.struct("d", "th", "a", "m")).alias("one"))
-        self._write(new, 0)
-        level = 0
-        while len(self.levels[level]) >= self.fanout:
-            self._merge(level, level + 1)
-            level += 1
-
-    def compact(self) -> None:
-        """All runs into one."""
-        if len(self.runs()) > 1:
-            self.levels = [self.runs()]
-            self._merge(0, 0)
-
-
 def _open(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, window: int) -> DataFrame:
-    """The 128-bit hash of each window of the wanted stretches, with its place and weight."""
-    lists = wanted.groupBy("d", "th").agg(F.collect_list(F.struct("a", "m", "n")).alias("__open"))
-    rows = _rows(docs.select(doc_id, text), doc_id, text)
+    """The digest of each window of the wanted stretches, with its place."""
+    lists = wanted.groupBy("d", "th").agg(F.collect_set(F.struct("a", "m")).alias("__open"))
+    rows = _rows(docs.select(doc_id, text), doc_id, text).dropDuplicates(["__d", "__th"])
     rows = rows.join(lists, (rows["__d"] == lists["d"]) & (rows["__th"] == lists["th"])).select("d", "th", text, "__open")
     schema = T.StructType.fromDDL(WINDOWS)
 
@@ -147,50 +133,104 @@ def _open(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, window: in
         for batch in batches:
             for part in V.slices(batch, text):
                 w = V.Words(*V.utf8(part.column(text)), _TABLE)
-                h1, h2 = w.windows(window), V.window_hash(V.mix(w.hash ^ V.U(0x3C6EF372)), window, 0xC2B2AE3D27D4EB4F)
                 lists = part.column("__open")
                 flat = lists.flatten()
                 doc = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-                a, m, n = (flat.field(k).to_numpy() for k in range(3))
-                total = int(m.sum())
-                step = np.arange(total) - np.repeat(np.cumsum(m) - m, m)
-                doc, start, weight = np.repeat(doc, m), np.repeat(a, m) + step, np.repeat(n, m)
-                at = w.ptr[doc] + start
+                a, m = (flat.field(k).to_numpy().astype(np.int64) for k in range(2))
+                step = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+                doc, start = np.repeat(doc, m), np.repeat(a, m) + step
+                y = Joined(w).digests(w.ptr[doc] + start, window)
                 d, th = (part.column(c).to_numpy()[doc] for c in ("d", "th"))
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((V.signed(h1[at]), V.signed(h2[at]), weight, d, th, start), arrow, strict=True)], schema=arrow)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((y[:, 0], y[:, 1], d, th, start, np.ones(len(doc), np.int32)), arrow, strict=True)], schema=arrow)
 
     return rows.mapInArrow(go, schema)
 
 
-def repeated_spans(docs: DataFrame, folder: str, doc_id: str, text: str, window: int, gram: int, batches: int, fanout: int) -> DataFrame:
-    """(d, th, a, m): m windows from word a on repeat, in the row of docs with d and th."""
+def _reduced(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """A row a key: how many rows it has, and the place of one of them."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("c"), *[F.first(p).alias(p) for p in PLACE])
+
+
+def _older(old, new) -> dict:
+    return {"n": F.least(old["n"] + new["n"], F.lit(2)), **{p: old[p] for p in PLACE}}
+
+
+class SubstringIndex:
+    """Fingerprints of all documents added so far, in a folder.
+
+    Runs hold n, which is 1 or 2 (more than once), and the first place. `grams` says
+    whether an anchor gram has several fingerprints, or else the place of its one.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, fanout: int = FANOUT, window: int = WINDOW, gram: int = GRAM):
+        self.spark, self.window, self.gram = spark, window, gram
+        self.prints = SortedRuns(spark, f"{folder}/prints", PRINT, f"x1 long, x2 long, g long, n int, {PLACES}", _older, fanout)
+        self.windows = SortedRuns(spark, f"{folder}/windows", OPENED, f"y1 long, y2 long, n int, {PLACES}", _older, fanout)
+        self.grams = SortedRuns(spark, f"{folder}/grams", ["g"], f"g long, several boolean, {PLACES}", lambda old, new: {"several": F.lit(True), **{p: old[p] for p in PLACE}}, fanout)
+
+    def add(self, docs: DataFrame, folder: str, *, doc_id: str = "doc_id", text: str = "text", earlier: DataFrame | None = None) -> DataFrame:
+        """Adds documents; gives (d, th, a, m): m windows from word a on repeat, in the row with d and th, old or new.
+
+        earlier: all documents added before, where stretches of theirs must be opened.
+        """
+        prints = stored(fingerprints(docs, doc_id, text, self.window, self.gram), f"{folder}/prints")
+        return self._add(prints, docs if earlier is None else docs.select(doc_id, text).unionAll(earlier.select(doc_id, text)), folder, doc_id, text)
+
+    def _add(self, prints: DataFrame, texts: DataFrame, folder: str, doc_id: str, text: str) -> DataFrame:
+        """prints: those of the batch, stored; texts: the documents of the batch and of history."""
+        whole = self._repeated(self.prints, prints, PRINT, f"{folder}/whole")
+        fresh = self.prints.matched(self.spark.table(self.prints.tables["staged"])).filter("known IS NULL")
+
+        grams, staged = self.grams, self.grams.stage(_reduced(fresh, ["g"]))
+        met = grams.matched(staged)
+        several = met.filter("known IS NOT NULL OR c > 1")
+        several = grams.run(lambda: stored(several.select("g", "c", F.when(~F.col("known.several"), F.struct(*[F.col(f"known.{p}") for p in PLACE])).alias("one")), f"{folder}/several"))
+        total = staged.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+        wanted = spread_join(fresh.select("g", *PLACE), several.select("g"), ["g"], ["d", "a"], counts=several.select("g", F.col("c").alias("n")), total=total).select(*PLACE)
+        wanted = wanted.unionAll(several.filter("one IS NOT NULL").select("one.*"))
+        opened = self.prints.run(lambda: stored(_open(texts, wanted, doc_id, text, self.window), f"{folder}/opened"))
+        grams.append(met.filter("known IS NULL OR NOT known.several").select("g", (F.col("known").isNotNull() | (F.col("c") > 1)).alias("several"), *PLACE))
+        single = self._repeated(self.windows, opened, OPENED, f"{folder}/single")
+        for runs in (self.prints, self.windows):
+            met = runs.matched(self.spark.table(runs.tables["staged"])).filter("known IS NULL OR known.n = 1")
+            runs.append(met.withColumn("n", F.when(F.col("known").isNull(), F.least("c", F.lit(2))).otherwise(1).cast("int")))
+        drop_dir(self.spark, f"{folder}/opened", f"{folder}/several")
+        return whole.unionAll(single)
+
+    def _repeated(self, runs: SortedRuns, rows: DataFrame, keys: list[str], folder: str) -> DataFrame:
+        """Places of the batch's rows whose key comes more than once, and that of history if it wasn't told yet; the batch stays staged."""
+        met = runs.matched(runs.stage(_reduced(rows, keys))).filter("known IS NOT NULL OR c > 1")
+        again = runs.run(lambda: stored(met.select(*keys, "c", F.when(F.col("known.n") == 1, F.struct(*[F.col(f"known.{p}") for p in PLACE])).alias("one")), f"{folder}-again"))
+        here = spread_join(rows, again.select(*keys), keys, ["d", "a"], counts=again.select(*keys, F.col("c").alias("n"))).select(*PLACE)
+        out = stored(here.unionAll(again.filter("one IS NOT NULL").select("one.*")), folder)
+        drop_dir(self.spark, f"{folder}-again")
+        return out
+
+    def close(self, delete: bool = False) -> None:
+        for runs in (self.prints, self.windows, self.grams):
+            runs.close(delete)
+
+
+def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, fanout: int = FANOUT, into: str = "repeats") -> DataFrame:
+    """docs with a struct column `into`: n_words, n_removed and the kept words joined by a space."""
     spark = docs.sparkSession
+    folder = shared_dir(spark)
     prints = fingerprints(docs, doc_id, text, window, gram).withColumn("batch", F.pmod(F.xxhash64("d", "th"), F.lit(batches)).cast("int"))
     prints.write.partitionBy("batch").parquet(f"{folder}/prints")
     prints = spark.read.schema(prints.schema).parquet(f"{folder}/prints")
-    index = FingerprintRuns(spark, f"{folder}/index", fanout)
+    index = SubstringIndex(spark, f"{folder}/index", fanout, window, gram)
+    spans = []
     for k in range(batches):
-        index.add(prints.filter(F.col("batch") == k).drop("batch"))
-    index.compact()
-    run = index.read()
-    again = run.filter("n > 1").select("g", "sig")
-    surely = stored(prints.join(again, ["g", "sig"]).select("d", "th", "a", "m"), f"{folder}/surely")
-    drop_dir(spark, f"{folder}/prints")
-    several = run.groupBy("g").agg(F.count("*").alias("k")).filter("k > 1").select("g")
-    wanted = stored(run.join(several, "g").select("one.*", "n"), f"{folder}/wanted")
-    drop_dir(spark, f"{folder}/index")
-    opened = stored(_open(docs, wanted, doc_id, text, window), f"{folder}/opened")
-    twice = opened.groupBy("h1", "h2").agg(F.sum("weight").alias("k")).filter("k > 1").select("h1", "h2")
-    verified = stored(opened.filter("weight = 1").join(twice, ["h1", "h2"]).select("d", "th", "a", F.lit(1).alias("m")), f"{folder}/verified")
-    drop_dir(spark, f"{folder}/opened")
-    return surely.union(verified)
+        spans.append(index._add(prints.filter(F.col("batch") == k).drop("batch"), docs, f"{folder}/batch-{k}", doc_id, text))
+        drop_dir(spark, f"{folder}/prints/batch={k}")
+    index.close()
+    drop_dir(spark, f"{folder}/index", f"{folder}/prints")
+    return without_spans(docs, functools.reduce(DataFrame.unionAll, spans), doc_id=doc_id, text=text, window=window, into=into)
 
 
-def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, fanout: int = FANOUT, into: str = "repeats") -> DataFrame:
-    """docs with a struct column `into`: n_words, n_removed and the kept words joined by a space."""
-    folder = shared_dir(docs.sparkSession)
-    spans = repeated_spans(docs, folder, doc_id, text, window, gram, batches, fanout)
-    lists = spans.groupBy("d", "th").agg(F.collect_list(F.struct("a", "m")).alias("__spans"))
+def without_spans(docs: DataFrame, spans: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, into: str = "repeats") -> DataFrame:
+    """docs with a struct column `into`, as in remove_repeats, from the spans that an index gave."""
+    lists = spans.groupBy("d", "th").agg(F.collect_set(F.struct("a", "m")).alias("__spans"))
     docs = without(docs, into)
     rows = _rows(docs, doc_id, text)
     rows = rows.join(lists, (rows["__d"] == lists["d"]) & (rows["__th"] == lists["th"]), "left").select(*[rows[f"`{c}`"] for c in docs.columns], "__spans")

@@ -32,13 +32,15 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import vectext as V
-from .common import table, with_struct
+from .common import drop_dir, shared_dir, stored, table, with_struct
 
 WINDOW = 13
 #: A document is contaminated if at least 1/20 of its words are hit.
 COVERAGE = (1, 20)
-#: Words of items in one automaton; more items make more automata, which pass one after the other.
-BLOCK_WORDS = 500_000
+#: Words of items in one automaton (about 0.8 kB each in a worker); more items make more automata, which pass one after the other.
+BLOCK_WORDS = 200_000
+#: Automata in one pass over the documents; what a pass found is written to the shared folder before the next.
+TOGETHER = 2
 TABLE_BITS = 20
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -252,19 +254,30 @@ def item_blocks(items: DataFrame, item_id: str, item_text: str, block_words: int
     yield block
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, into: str = "contamination", cut: bool = False, unnamed: bool = False) -> DataFrame:
+def find_contamination(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, together: int = TOGETHER, into: str = "contamination", cut: bool = False, unnamed: bool = False) -> DataFrame:
     """docs with a struct column `into`: n_words, n_hit, spans (words and bytes), items.
 
-    One pass over the documents for each `block_words` of item words; each pass
-    broadcasts one automaton of that bounded size. With cut, the last pass also
-    takes the hit spans out of the text. With unnamed, items without id count.
+    Each `block_words` of item words make an automaton of that bounded size, and
+    `together` of them are broadcast for one pass over the documents, so a worker's
+    memory doesn't depend on the number of items. With cut, the last automaton's
+    turn also takes the hit spans out of the text. With unnamed, items without id
+    count.
     """
     spark, out = docs.sparkSession, docs
+    folder, written, held = shared_dir(spark), [], []
     blocks = item_blocks(items, item_id, item_text, block_words, unnamed)
     block, later = next(blocks), False
     while block is not None:
         following = next(blocks, None)
+        if len(held) == together:
+            out = stored(out, f"{folder}/pass-{len(written)}")
+            written.append(f"{folder}/pass-{len(written)}")
+            drop_dir(spark, *written[:-1])
+            for done in held:
+                done.destroy()
+            held = []
         shared = spark.sparkContext.broadcast(Automaton(block, window))
+        held.append(shared)
         schema = with_struct(out.schema, into, RESULT)
 
         def go(batches, shared=shared, schema=schema, later=later, cut=cut and following is None):

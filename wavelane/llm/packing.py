@@ -27,6 +27,7 @@ rows that repeat a document. An empty table gives no pieces. Only `doc_id` and
 from __future__ import annotations
 
 import base64
+import logging
 import zlib
 
 import numpy as np
@@ -44,6 +45,8 @@ END = 1
 UNIT = 8
 #: The linear program may stop when it is so near its lower bound.
 GAP = 1e-3
+#: Columns that may be priced; should they not do, that is logged, and the rounding pads some more. All pieces are packed either way.
+STEPS = 6000
 SPECIAL = {"<|endoftext|>": 50256}
 
 _ENCODERS: dict = {}
@@ -111,7 +114,7 @@ def _price(dual: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, n
     return float(best[capacity]), pattern
 
 
-def plan_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = GAP, most: int = 6000) -> list[tuple[np.ndarray, float]]:
+def plan_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = GAP, most: int = STEPS) -> list[tuple[np.ndarray, float]]:
     """Linear program by column generation: patterns with their (fractional) counts."""
     m = len(sizes)
     basis = [np.eye(m, dtype=np.int64)[k] * (capacity // sizes[k]) for k in range(m)]
@@ -144,6 +147,8 @@ def plan_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: flo
             if np.abs((columns * x[:, None]).sum(axis=0) - demand).max() > 1e-6 * demand.max():  # rounding has added up
                 inverse = np.linalg.inv(columns.T)
                 x = np.maximum((inverse * demand).sum(axis=1), 0)
+    else:
+        logging.getLogger(__name__).warning("linear program ended after %d columns at %.4f, %.2f %% above its bound", most, x.sum(), 100 * (x.sum() / bound - 1))
     return list(zip(basis, x.tolist(), strict=True))
 
 
@@ -194,13 +199,14 @@ def _ranges(plan: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, int,
 
 
 def assign(cut: DataFrame, capacity: int = CAPACITY, unit: int = UNIT) -> DataFrame:
-    """cut with sequence_id and offset. cut: a stored table of pieces."""
+    """cut with sequence_id and offset. cut: a stored table of pieces, ids aside."""
     spark = cut.sparkSession
     n = partitions(spark)
     cut = cut.withColumn("__class", F.ceil(F.col("length") / unit).cast("int")).withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(n)).cast("int"))
     counts = cut.groupBy("__class", "__bucket").agg(F.count("*").alias("__n"))
     before = counts.select("__class", "__bucket", (F.sum("__n").over(Window.partitionBy("__class").orderBy("__bucket")) - F.col("__n")).alias("__before"))
     histogram = {r[0]: r[1] for r in cut.groupBy("__class").count().collect()}  # at most capacity / unit rows
+    # At most a row a piece of each of the program's patterns and of the sequences that rounding leaves, capacity / unit of either.
     ranges = spark.createDataFrame(_ranges(sequences(histogram, capacity // unit)) or [(0, 0, 0, 0, 1, 0)], "__c int, __lo long, __hi long, __seq long, __a long, __slot long")
     rank = F.row_number().over(Window.partitionBy("__class", "__bucket").orderBy("doc_id", "start", "ids_crc32")) - 1
     ranked = cut.join(before, ["__class", "__bucket"]).withColumn("__rank", rank + F.col("__before"))
@@ -209,13 +215,21 @@ def assign(cut: DataFrame, capacity: int = CAPACITY, unit: int = UNIT) -> DataFr
     placed = placed.withColumn("sequence_id", F.expr("__seq + (__rank - __lo) div __a")).withColumn("__slot", F.col("__slot") + j % F.col("__a"))
     inside = Window.partitionBy("sequence_id").orderBy("__slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = placed.withColumn("offset", F.sum("length").over(inside) - F.col("length"))
-    return placed.drop(*[c for c in placed.columns if c.startswith("__")])
+    return placed.drop("__class", "__bucket", "__before", "__rank", "__c", "__lo", "__hi", "__seq", "__a", "__slot")
 
 
-def pack(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, unit: int = UNIT, **options) -> DataFrame:
-    """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (, ids)."""
-    cut = stored(pieces(docs, doc_id=doc_id, text=text, capacity=capacity, **options), f"{shared_dir(docs.sparkSession)}/pieces")
-    return assign(cut, capacity, unit)
+def pack(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, unit: int = UNIT, keep_ids: bool = False, **options) -> DataFrame:
+    """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (, ids).
+
+    Places are found without the ids, which join them at the end.
+    """
+    cut = pieces(docs, doc_id=doc_id, text=text, capacity=capacity, keep_ids=keep_ids, **options)
+    if keep_ids:
+        cut = cut.withColumn("__piece", F.monotonically_increasing_id())  # fixed once written
+    cut = stored(cut, f"{shared_dir(docs.sparkSession)}/pieces")
+    if not keep_ids:
+        return assign(cut, capacity, unit)
+    return assign(cut.drop("ids"), capacity, unit).join(cut.select("__piece", "ids"), "__piece").drop("__piece")
 
 
 def padding(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -4,7 +4,7 @@
 documents are counted by pattern (at most 3 ** labellers of them), and
 expectation-maximisation on these counts estimates how often each labeller votes
 what in either class, and with that every pattern's posterior of being good. The
-posteriors label at most `TRAIN` documents (least hashes of their ids), on which a
+posteriors label at most `TRAIN` rows (least hashes of their ids, each text once), on which a
 logistic scorer over `BUCKETS` hashed features is trained: four-byte runs of the
 text with letters folded to their kind and words said twice in a row marked. Its score decides; a document is kept at
 `KEEP` or more.
@@ -233,8 +233,9 @@ def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", train: i
         return None
     rows.sort()
     model = LabelModel(unpack(np.array([r[0] for r in rows]), len(LABELLERS)), np.array([r[1] for r in rows], float))
-    ids = docs.filter(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("k")).orderBy(F.xxhash64("k"), "k").limit(train).distinct()
-    few = docs.select(F.col(doc_id).alias("k"), F.col(text).alias("t")).join(F.broadcast(ids), "k")
+    rows = docs.filter(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("k"), F.xxhash64(text).alias("th"), F.col(text).alias("t"))
+    least = rows.select("k", "th").orderBy(F.xxhash64("k"), "k", "th").limit(train).distinct()  # at most `train` rows
+    few = rows.join(F.broadcast(least), ["k", "th"]).dropDuplicates(["k", "th"]).select("k", "t")
     schema = T.StructType([T.StructField("k", docs.schema[doc_id].dataType), T.StructField("pattern", T.LongType()), T.StructField("x", T.BinaryType())])
 
     def go(batches):
@@ -245,7 +246,7 @@ def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", train: i
                 out = pa.RecordBatch.from_arrays([part.column("k"), pa.array(pattern(votes(w, off))), pa.array(_counts(w, off), pa.binary())], names=schema.names)
                 yield out.filter(pa.array(np.diff(w.ptr) > 0))
 
-    got = few.mapInArrow(go, schema).limit(train).collect()
+    got = few.mapInArrow(go, schema).collect()
     if not got:
         return None
     got.sort(key=lambda r: (r[0], r[1], bytes(r[2])))

@@ -6,8 +6,9 @@ distribution over the languages. A document's probabilities are the mean over al
 positions of its whole text. The network is trained here, in numpy, by
 backpropagation through time.
 
-Training rows: at most `PER_LANG` documents of each language (least hashes of
-their ids), `PIECES` pieces of each, spread over its text. Documents held out
+Training rows: at most `PER_LANG` of each language (least hashes of id and text;
+repeated rows count once), `PIECES` pieces of each, spread over its text. What is
+collected, broadcast and learnt is so bounded by the number of languages. Documents held out
 (crc32 of the id as text, modulo 4, is 2) are never among them; a prediction sees
 the text only.
 
@@ -169,12 +170,32 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _least(keyed: DataFrame, sizes: dict[str, int], per_lang: int, whole: bool = False) -> list:
+    """(l, h) of the per_lang least hashes of each language in sizes.
+
+    Only hashes below a mark are ranked that leaves somewhat more than per_lang of
+    evenly spread ones; so no language's rows meet in one task.
+    """
+    marks = [(l, float(-(2**63) + 2**64 * (1.0 if whole else min(1.0, (per_lang + 8 * per_lang**0.5 + 32) / n)))) for l, n in sizes.items()]
+    marks = keyed.sparkSession.createDataFrame(marks, "l string, mark double")
+    low = keyed.join(F.broadcast(marks), "l").filter(F.col("h") <= F.col("mark")).select("l", "h").distinct()
+    return low.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h"))).filter(F.col("r") <= per_lang).select("l", "h").collect()
+
+
 def sample(docs: DataFrame, doc_id: str, text: str, lang: str, per_lang: int) -> DataFrame:
-    """(lang, piece, size): at most PIECES pieces of at most per_lang documents a language."""
+    """(l, piece, size): at most PIECES pieces of at most per_lang rows a language, rows that repeat id and text once."""
     key = F.col(doc_id)
-    allowed = docs.filter(key.isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(key)).select(key.alias("k"), F.col(lang).alias("l"))
-    few = allowed.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("k"), "k"))).filter(F.col("r") <= per_lang).select("k", "l").distinct()
-    rows = docs.select(key.alias("k"), F.col(lang).alias("l"), F.col(text).alias("t")).filter("t IS NOT NULL").join(F.broadcast(few), ["k", "l"])
+    rows = docs.filter(key.isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(key)).select(F.col(lang).alias("l"), F.xxhash64(key, text).alias("h"), F.col(text).alias("t"))
+    sizes = {r[0]: r[1] for r in rows.groupBy("l").count().collect()}  # a row a language
+    few = _least(rows, sizes, per_lang) if sizes else []
+    had = {l: 0 for l in sizes}
+    for l, _ in few:
+        had[l] += 1
+    # Where rows repeat, fewer hashes lie below the mark than the count let expect.
+    if short := {l: n for l, n in sizes.items() if had[l] < min(per_lang, n)}:
+        few = [r for r in few if r[0] not in short] + _least(rows, short, per_lang, whole=True)
+    few = docs.sparkSession.createDataFrame(few, "l string, h long")
+    rows = rows.join(F.broadcast(few), ["l", "h"]).dropDuplicates(["l", "h"])
     schema = T.StructType([T.StructField("l", T.StringType()), T.StructField("piece", T.BinaryType()), T.StructField("size", T.IntegerType())])
 
     def go(batches):

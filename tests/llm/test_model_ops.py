@@ -94,11 +94,57 @@ def test_token_trees(tokenizer):
         tree.replace(0, 10**6, b"")
 
 
+def test_leaves_stay_small(tokenizer):
+    """Thousands of edits at one place, and in many: what is encoded again stays bounded."""
+    import random
+
+    enc, r = P.encoder(), random.Random(8)
+    tree, now = K.TokenTree(b"start end", enc, leaf=64), b"start end"
+    for k in range(2000):
+        before = tree.encoded_bytes
+        at = 5 if k % 2 else r.randint(0, len(now))
+        stop = at if r.random() < 0.7 else min(len(now), at + r.randint(0, 12))
+        put = r.choice([b" word", b"x", b" 12 ", b"\n", b""])
+        tree.replace(at, stop, put)
+        now = now[:at] + put + now[stop:]
+        assert tree.encoded_bytes - before < 64 * 12
+    assert tree.text() == now and max(map(len, tree.leaves)) < 64 * 4 and len(tree.leaves) > len(now) / 200
+    assert tree.total == len(tokenizer.encode(now.decode(), add_special_tokens=False).ids)
+    tree.replace(0, tree.length, b"")
+    assert (tree.total, tree.text(), tree.leaves) == (0, b"", [b""])
+    tree.replace(0, 0, "é new".encode())
+    assert tree.text() == "é new".encode()
+
+
+def test_edits_that_are_refused(spark):
+    schema = "doc_id long, text string, edits array<struct<start: long, stop: long, put: string>>, tree string, tokens string"
+    rows = [
+        (1, "one été three", [(0, 3, "1"), (None, 2, "x"), (2, 5, "overlaps"), (5, 6, "cuts"), (4, 9, None), (9, 9, "a"), (9, 9, "b"), (3, 2, "x"), (0, 99, "x"), (-1, 0, "x"), (15, 15, "!"), None], "", ""),
+        (2, None, [(0, 0, "x")], "", ""), (None, "", [(0, 0, "put")], "", ""), (3, "kept", None, "", ""), (3, "kept", [], "", ""),
+    ]
+    got = {(r.doc_id, r.n_edits, r.n_refused): r.edited for r in K.count_edited(spark.createDataFrame(rows, schema), "edits").select("doc_id", "tokens.*").collect()}
+    assert got == {(1, 5, 7): "1 ab three!", (2, 0, 1): None, (None, 1, 0): "put", (3, 0, 0): "kept"}
+
+
+def test_stored_trees_take_later_edits(spark, tokenizer, tmp_path):
+    docs = C.documents(spark).withColumn("edits", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("stop"), F.lit("new head ").alias("put"))))
+    K.token_trees(docs, leaf=32).write.parquet(f"{tmp_path}/0")
+    for k in range(3):
+        out = K.edit_trees(spark.read.parquet(f"{tmp_path}/{k}"), "edits", leaf=32)
+        out.write.parquet(f"{tmp_path}/{k + 1}")
+    for r in spark.read.parquet(f"{tmp_path}/3").select("text", "tree", "tokens.*").collect():
+        if r.text is None:
+            assert r.tree is None and (r.n_edits, r.n_refused) == (0, 1)
+        else:
+            assert "".join(r.tree.leaves) == "new head " * 3 + r.text and r.n_edits == 1 and r.n_leaves_encoded <= 3
+            assert sum(r.tree.tokens) == r.n_tokens_after == len(tokenizer.encode("new head " * 3 + r.text, add_special_tokens=False).ids)
+
+
 def test_counts_after_edits(spark, tokenizer):
     mail = C.documents(spark).withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit(" write to a.b@c.example.com or 10.0.0.1 now"))).otherwise(F.col("text")))
     out = K.count_edited(K.redactions(mail), "edits").select("text", "tokens.*").collect()
     for r in out:
-        assert r.n_tokens == len(tokenizer.encode(r.text or "", add_special_tokens=False).ids)
+        assert r.n_refused == 0 and r.n_tokens == len(tokenizer.encode(r.text or "", add_special_tokens=False).ids)
         assert r.n_tokens_after == len(tokenizer.encode(r.edited or "", add_special_tokens=False).ids)
         assert r.n_edits == (2 if r.text and "@" in r.text else 0)
     long = [r for r in out if r.n_leaves > 50 and r.n_edits]

@@ -11,8 +11,10 @@ is compressed with its template as a raw zstandard dictionary; its reduction is
 the share of bytes that saves against no dictionary, so text around a notice
 doesn't lessen it. The words that differ are reported.
 
-All templates are tried, and every match is reported whose matched words no better
-one has: fewest differing words come first, then most bytes saved. A template that
+All templates, short notices and whole license texts, are tried, and every match is
+reported whose matched words no better one has: the most matched words less differing
+ones come first, then most bytes saved; so a license text isn't taken for the notice
+that it begins with. A template that
 matches several times on a line is reported once, by its best match there. A match
 belongs to the line of its first matched word; `blocks` counts the lines on which
 a licensing word begins.
@@ -42,7 +44,7 @@ LEVEL = 3
 WORDING = 0.8
 EXTRA = 0.35
 
-# Short notices by which public licenses are applied.
+# Short notices by which public licenses are applied, and whole texts of such licenses.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
@@ -60,6 +62,11 @@ TEMPLATES = {
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-long": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC0-1.0": "This work is dedicated to the public domain under CC0 1.0.",
+    "Apache-2.0-notice": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    "MIT-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "ISC-text": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "BSD-2-Clause-text": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    "Zlib-text": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
 }
 
 CANDIDATE = re.compile(r"licen[cs]|copyright|permission|redistribut|public\W+domain|spdx", re.I | re.A)
@@ -149,7 +156,7 @@ class Scanner:
         return out
 
     def window(self, t: int, own: list[str | None], first: int) -> tuple[int, int] | None:
-        """(differing words, end) of the confirmed window from `first` with fewest differing words."""
+        """(matched words less differing ones, end) of the best confirmed window from `first`."""
         n, marks, best = len(self.known[t][1]), self.marks[t], None
         v = full = (1 << n) - 1
         for at in range(first, min(first + self.longest(n), len(own))):
@@ -158,8 +165,8 @@ class Scanner:
                 v = (v + (v & m) | v & ~m) & full
                 common = n - v.bit_count()
                 extra = at + 1 - first - common
-                if common >= WORDING * n and extra <= EXTRA * n and (best is None or n - common + extra < best[0]):
-                    best = n - common + extra, at + 1
+                if common >= WORDING * n and extra <= EXTRA * n and (best is None or 2 * common - n - extra > best[0]):
+                    best = 2 * common - n - extra, at + 1
         return best
 
     def matches(self, text: str, at: list[tuple[int, int]]) -> list[tuple[int, str, float, list[str], list[str]]]:
@@ -176,14 +183,14 @@ class Scanner:
                 block = text[at[first][0] : at[hit[1] - 1][1]].encode()
                 alone = len(self.plain.compress(block))
                 saved = alone - len(compressor.compress(block))
-                heapq.heappush(heap, (hit[0], -saved, name, first, hit[1], t, saved / alone))
+                heapq.heappush(heap, (-hit[0], -saved, name, first, hit[1], t, saved / alone))
 
         for t, first in self.starts(own):
             offer(t, first)
         while heap:
-            differing, _, name, first, after, t, gain = heapq.heappop(heap)
+            worse, _, name, first, after, t, gain = heapq.heappop(heap)
             # A window that lost words to a better match since comes back with what it has left.
-            if self.window(t, free, first) != (differing, after):
+            if self.window(t, free, first) != (-worse, after):
                 offer(t, first)
                 continue
             missing, between, common = wording(self.known[t][1], free[first:after])
@@ -193,7 +200,7 @@ class Scanner:
         return out
 
     def best(self, block: bytes) -> tuple[str, float, list[str], list[str]] | None:
-        """The confirmed template with fewest differing words."""
+        """The best confirmed template."""
         text = block.decode(errors="replace")
         found = self.matches(text, spans(text))
         return found[0][1:] if found else None

@@ -22,7 +22,7 @@ def items(spark):
     return spark.createDataFrame(ITEMS, "item_id string, text string")
 
 
-@pytest.mark.parametrize("block", [500_000, 30])
+@pytest.mark.parametrize("block", [200_000, 30])
 def test_decontamination(spark, block):
     docs = C.documents(spark).cache()
     got = D.find_contamination(docs, items(spark), block_words=block).select("text", "contamination.*").collect()
@@ -70,6 +70,58 @@ def test_substring_dedup(spark, batches):
     assert S.remove_repeats(C.empty(spark)).count() == 0
 
 
+def test_substring_index_by_calls(spark, tmp_path):
+    """Three calls give the spans of one; the index is opened anew each time."""
+    docs = C.documents(spark).withColumn("k", F.pmod(F.xxhash64("doc_id", "text"), F.lit(3))).cache()
+    spans, before = [], None
+    for k in range(3):
+        now = docs.filter(F.col("k") == k)
+        index = S.SubstringIndex(spark, f"{tmp_path}/index")
+        spans.append(index.add(now, f"{tmp_path}/call-{k}", earlier=before))
+        index.close()
+        before = now if before is None else before.unionAll(now)
+    x = F.col("repeats")
+    out = S.without_spans(docs, spans[0].unionAll(spans[1]).unionAll(spans[2]))
+    got = out.select("text", x.n_words, x.n_removed, F.sha2(x.kept, 256)).collect()
+    assert Counter(map(tuple, got)) == Counter((t, *r) for t, r in zip(texts(docs), C.substring_dedup(texts(docs)), strict=True))
+
+
+def test_index_side_needs_no_exchange(spark, tmp_path):
+    docs = C.documents(spark)
+    index = L.LineIndex(spark, f"{tmp_path}/lines", docs.schema["doc_id"].dataType)
+    for k in range(3):
+        rows = L.line_hashes(docs.filter(F.col("doc_id") % 3 == k), "doc_id", "text", 10)
+        rows.write.parquet(f"{tmp_path}/rows-{k}")
+        index.add(spark.read.parquet(f"{tmp_path}/rows-{k}"), f"{tmp_path}/batch-{k}")
+    runs = index.runs
+    assert len(runs.runs()) == 2
+    staged = runs.stage(spark.read.parquet(f"{tmp_path}/rows-0").groupBy("key").agg(F.min("doc_id").alias("owner")))
+    plan = runs.run(lambda: runs.matched(staged)._jdf.queryExecution().executedPlan().toString())
+    assert plan.count("SortMergeJoin") == 2 and "Exchange" not in plan and "Sort " not in plan
+
+
+def test_line_index_by_calls(spark, tmp_path):
+    """Calls in ascending order of ids that share an index are as one call."""
+    docs = C.documents(spark).filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).cache()
+    own = [(r.doc_id, r.text) for r in docs.collect()]
+    x = F.col("lines")
+    got = []
+    for low, high in ((0, 17), (17, 18), (18, 1000)):
+        out = L.dedup_lines(docs.filter(F.col("doc_id").between(low, high - 1)), batches=2, index=f"{tmp_path}/lines")
+        got += out.select("doc_id", x.n_lines, x.n_dropped, F.sha2(F.coalesce(x.kept, F.lit("")), 256)).collect()
+    assert Counter(map(tuple, got)) == Counter(C.line_dedup(own))
+
+
+def test_hot_keys_are_dealt(spark, tmp_path, monkeypatch):
+    from wavelane.llm import common
+
+    monkeypatch.setattr(common, "FEW", 4)
+    spark.range(500).select((F.col("id") % 7 * (F.col("id") % 3)).alias("k"), F.col("id").alias("v")).write.parquet(f"{tmp_path}/many")
+    many, one = spark.read.parquet(f"{tmp_path}/many"), spark.range(3, 14).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
+    for how in ("inner", "left"):
+        assert Counter(map(tuple, common.spread_join(many, one, ["k"], ["v"], how).select("k", "v", "w").collect())) == Counter(map(tuple, many.join(one, "k", how).select("k", "v", "w").collect()))
+
+
 def test_substring_dedup_of_random_overlaps(spark):
     import random
 
@@ -85,13 +137,15 @@ def test_substring_dedup_of_random_overlaps(spark):
 @pytest.mark.parametrize("size,least", [(3, (85, 100)), (5, (80, 100))])
 def test_near_duplicates(spark, size, least):
     docs = C.documents(spark).cache()
-    plain = docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).filter("NOT (doc_id = 3 AND text LIKE 'another%')").cache()
-    want = C.near_groups([(r.doc_id, r.text) for r in plain.collect()], size, *least)
-    got = M.near_duplicates(plain, shingle=size, least=least).collect()
-    assert sorted(map(tuple, got)) == sorted(want)
-    # A row without id belongs to its class but never names it; repeated rows agree.
-    every = M.near_duplicates(docs, shingle=size, least=least).collect()
-    assert len(every) == docs.count()
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    # Row by row, whatever ids repeat or lack; a group is named by its smallest id.
+    groups = C.near_groups([(k, t) for k, (_, t) in enumerate(rows)], size, *least)
+    names = {}
+    for k, n, c in groups:
+        if n and rows[k][0] is not None:
+            names[c] = min(names.get(c, rows[k][0]), rows[k][0])
+    want = Counter((rows[k][0], n, names.get(c) if n else rows[k][0]) for k, n, c in groups)
+    assert Counter(map(tuple, M.near_duplicates(docs, shingle=size, least=least).collect())) == want
     assert M.near_duplicates(C.empty(spark)).count() == 0
 
 
@@ -129,6 +183,22 @@ def test_representatives(spark):
     docs = C.documents(spark).filter("doc_id BETWEEN 11 AND 14")
     out = M.keep_representatives(docs)
     assert out.columns == docs.columns and {11, 14} <= {r.doc_id for r in out.collect()} and 13 not in {r.doc_id for r in out.collect()}
+    odd = [(None, "a b c d e f g"), (None, "a b c d e f g"), (None, "A b c d e f g"), (None, None), (4, "other words than these are here"), (4, "not one of the same at all"), (5, "other words than these are here"), (None, "not one of the same at all")]
+    kept = Counter((r.doc_id, r.text) for r in M.keep_representatives(spark.createDataFrame(odd, "doc_id long, text string")).collect())
+    assert {(k, t) for k, t in kept if k == 4 or t is None} == {(4, odd[4][1]), (4, odd[5][1]), (None, None)} and (5, odd[6][1]) not in kept and (None, odd[7][1]) not in kept
+    assert len([t for _, t in kept if t and t.lower() == odd[0][1]]) == 1
+
+
+def test_hot_groups(spark, monkeypatch):
+    """Hot classes, keys, centres and components are dealt and give what they give undealt."""
+    from wavelane.llm import common
+
+    monkeypatch.setattr(common, "FEW", 3)
+    docs = C.documents(spark).filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    copies = docs.filter("doc_id = 11").select((F.lit(1000) + F.explode(F.sequence(F.lit(0), F.lit(30)))).alias("doc_id"), "text")
+    docs = docs.select("doc_id", "text").union(copies).cache()
+    want = C.near_groups([(r.doc_id, r.text) for r in docs.collect()], 5, 80, 100)
+    assert sorted(map(tuple, M.near_duplicates(docs).collect())) == sorted(want)
 
 
 @settings(max_examples=60, deadline=None)

@@ -195,7 +195,7 @@ def test_hot_groups(spark, monkeypatch):
 
     monkeypatch.setattr(common, "FEW", 3)
     docs = C.documents(spark).filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    copies = docs.filter("doc_id = 11").select((F.lit(1000) + F.explode(F.sequence(F.lit(0), F.lit(30)))).alias("doc_id"), "text")
+    copies = spark.range(1000, 1031).select(F.col("id").alias("doc_id"), F.lit(docs.filter("doc_id = 11").first().text).alias("text"))
     docs = docs.select("doc_id", "text").union(copies).cache()
     want = C.near_groups([(r.doc_id, r.text) for r in docs.collect()], 5, 80, 100)
     assert sorted(map(tuple, M.near_duplicates(docs).collect())) == sorted(want)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import json
+import time
 import uuid
 from contextlib import contextmanager
 
@@ -36,10 +37,17 @@ def stored(df: DataFrame, where: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(where)
 
 
+#: Seconds between two collections of garbage, at least.
+TIDY_S = 10
+_tidied = [0.0]
+
+
 def tidy(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark delete shuffle files of plans that nothing refers to any more, now and then."""
+    if time.monotonic() - _tidied[0] >= TIDY_S:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _tidied[0] = time.monotonic()
 
 
 def _at(spark: SparkSession, where: str):
@@ -111,8 +119,8 @@ def spread_join(many: DataFrame, one: DataFrame, keys: list[str], by: list[str],
     """
     spark, parts = many.sparkSession, partitions(many.sparkSession)
     share = max(FEW, -(-(many.count() if total is None else total) // parts))
-    counts = many.groupBy(*keys).agg(F.count("*").alias("n")) if counts is None else counts
-    heat = counts.filter(F.col("n") > share).select(*keys, F.ceil(F.col("n") / share).cast("int").alias("__parts")).collect()
+    counts = many.groupBy(*keys).agg(F.count("*").alias("__n")) if counts is None else counts.withColumnRenamed("n", "__n")
+    heat = counts.filter(F.col("__n") > share).select(*keys, F.ceil(F.col("__n") / share).cast("int").alias("__parts")).collect()
     if not heat:
         return many.join(one, keys, how)
     heat = F.broadcast(spark.createDataFrame(heat, T.StructType([*(many.schema[k] for k in keys), T.StructField("__parts", T.IntegerType())])))

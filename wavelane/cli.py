@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import os
 import sys
-import time
 from dataclasses import dataclass
 
 from .config import SAMPLE_RATE
-from .errors import EXIT_FAILED, EXIT_OK, EXIT_USAGE, SeparationError, Unsupported
+from .errors import EXIT_FAILED, EXIT_OK, EXIT_USAGE, InputError, SeparationError
 
 HELP = """usage: python -m wavelane.cli --model PATH --out DIR [options] INPUT.wav
 
@@ -121,60 +120,38 @@ def explain(error: SeparationError) -> str:
     return f"{error.kind} error: {error}" + (f"\nhint: {error.hint}" if error.hint else "")
 
 
-def separate_file(spark, args: Args) -> dict:
-    """Reads, separates and writes one track; a dict of what was done."""
-    from .operators.admission import admit, peak_mb
+def engine_of(args: Args):
+    """(engine maker, grid, MiB that a window needs) of the model; overlap is 1.5 s or 2.5 s, half a window at most."""
+    from .operators.admission import network_need_mb, onnx_need_mb
     from .operators.network import Network, NetworkSeparator, Shape, load_weights
     from .operators.onnx_separator import OnnxSeparator
-    from .operators.overlap import stems
     from .plans.grid import Grid
-    from .sources import safetensors, wav
+    from .sources import safetensors
 
-    import pyspark.sql.functions as F
-
-    for path in (args.model, args.input):
-        if not os.path.exists(path):
-            raise Unsupported(f"{path} doesn't exist")
+    if not os.path.exists(args.model):
+        raise InputError(f"{args.model} doesn't exist")
     if choose_engine(args) == "onnx":
         with open(args.model, "rb") as f:
             model = f.read()
         window = OnnxSeparator(model, args.window, args.threads).window_samples
-        make = lambda: OnnxSeparator(model, args.window, args.threads)
-        overlap = min(66_150, window // 2)
-    else:
-        weights, window = load_weights(Shape(), safetensors.load(args.model)), args.window or 352_800
-        make = lambda: NetworkSeparator(Network(Shape(), weights), window)
-        overlap = min(110_250, window // 2)
-    q = (19_400 - 5_100) / (352_800**2 - 176_400**2)
-    admit(max(round(5_100 + q * (window**2 - 176_400**2)), 0))
-    began = time.time()
-    with peak_mb() as peak:
-        head = wav.read_header(args.input)
-        frames = wav.read_track(spark, args.input)
-        if head.rate != SAMPLE_RATE:
-            frames = _resampled(frames, head, wav.track_length(head))
-        total = wav.track_length(head)
-        frames = frames.select(F.lit("track").alias("track"), "pos", F.lit(total).cast("long").alias("total"), "l", "r")
-        out = stems(frames, Grid(window, overlap), make, ["track"]).persist()
-        os.makedirs(args.out_dir, exist_ok=True)
-        for name, a, b in (("background", "bg_l", "bg_r"), ("vocals", "voc_l", "voc_r")):
-            wav.write_track(out, os.path.join(args.out_dir, f"{name}.wav"), os.path.join(args.out_dir, f".{name}.pieces"), a, b)
-        out.unpersist()
-    return {"frames": total, "rate": SAMPLE_RATE, "wall_s": time.time() - began, "peak_mb": peak.mb}
-
-
-def _resampled(frames, head, target: int):
-    """Linear resampling of a stereo track to the library's rate."""
-    from pyspark.sql import functions as F
-
-    from .functions.signal import source_position
-
-    n = F.lit(head.frames)
-    out = frames.sparkSession.range(target).select(F.col("id").alias("pos"), source_position(F.col("id"), n, F.lit(target)).alias("p"))
-    out = out.withColumns({"a": F.least(F.floor("p").cast("long"), n - 1), "b": F.least(F.floor("p").cast("long") + 1, n - 1)})
-    x, y = (frames.select(F.col("pos").alias(c), F.col("l").alias(f"l_{c}"), F.col("r").alias(f"r_{c}")) for c in "ab")
-    frac = F.col("p") - F.floor("p")
-    return out.join(x, "a").join(y, "b").select("pos", *[(F.col(f"{c}_a") + frac * (F.col(f"{c}_b") - F.col(f"{c}_a"))).cast("float").alias(c) for c in "lr"])
+        return lambda: OnnxSeparator(model, window, args.threads), Grid(window, min(66_150, window // 2)), onnx_need_mb(window)
+    weights, window = load_weights(Shape(), safetensors.load(args.model)), args.window or 352_800
+    return lambda: NetworkSeparator(Network(Shape(), weights), window), Grid(window, min(110_250, window // 2)), network_need_mb(window)
+
+
+def separate_file(spark, args: Args, options=None):
+    """Reads, separates and writes one track, from its checkpoint if there is one; a Report."""
+    from dataclasses import replace
+
+    from .config import Options
+    from .streaming.track import separate_track
+
+    if not os.path.exists(args.input):
+        raise InputError(f"{args.input} doesn't exist")
+    make, grid, need = engine_of(args)
+    options = replace(options or Options(), resume=not args.fresh)
+    vocals, background = (os.path.join(args.out_dir, f"{n}.wav") for n in ("vocals", "background"))
+    return separate_track(spark, args.input, vocals, background, make, grid, args.model, need, options)
 
 
 def main(argv: list[str]) -> int:
@@ -188,16 +165,27 @@ def main(argv: list[str]) -> int:
         return EXIT_OK
     from pyspark.sql import SparkSession
 
+    from . import ship
+    from .config import Options
+
     spark = SparkSession.builder.appName("wavelane").getOrCreate()
+    ship(spark)
+    said = Options() if args.quiet else Options(progress=lambda percent, what: print(f"{percent:3d} % {what}", file=sys.stderr))
     try:
-        done = separate_file(spark, args)
+        done = separate_file(spark, args, said)
     except SeparationError as e:
         print(explain(e), file=sys.stderr)
         return EXIT_FAILED
     if not args.quiet:
-        print(f"{group_digits(done['frames'])} frames in {done['wall_s']:.1f} s, peak {group_digits(done['peak_mb'])} MB")
+        print(summary(done))
     return EXIT_OK
 
 
+def summary(r) -> str:
+    """What a run did, in a line."""
+    kept = f", {group_digits(r.resumed_from)} frames kept" if r.resumed_from else ""
+    return f"{group_digits(r.frames)} frames in {r.wall_s:.1f} s, {r.windows_inferred} windows inferred, {r.windows_resumed} skipped{kept}, peak {group_digits(r.peak_mb or 0)} MB"
+
+
 if __name__ == "__main__":
     sys.exit(main(sys.argv[1:]))

@@ -35,11 +35,19 @@ def percent(done: int, total: int) -> int:
 
 @dataclass(frozen=True)
 class Options:
-    """How to run; `with_*` give changed copies."""
+    """How to run; `with_*` give changed copies.
 
-    overlap: int = 66_150
+    overlap and window: null for the engine's own. memory_budget_mb: what one window
+    may need, in place of what the machine reports. windows_at_once: null for the
+    number of the cluster's cores; also how many windows lie between checkpoints.
+    """
+
+    overlap: int | None = None
+    window: int | None = None
+    threads: int = 4
     resume: bool = True
     memory_budget_mb: int | None = None
+    windows_at_once: int | None = None
     progress: Callable[[int, str], None] | None = None
     cancel: CancelFlag = field(default_factory=CancelFlag)
 
@@ -65,7 +73,7 @@ class Report:
     frames: int
     windows_inferred: int
     windows_resumed: int
-    resumed_from: int
+    resumed_from: int  # frames that were final already
     peak_mb: int | None
     wall_s: float
 

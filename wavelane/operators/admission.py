@@ -96,6 +96,19 @@ def admit(need_mb: int, budget_mb: int | None = None, now: dict[str, int | None]
         raise MemoryRefusal(need_mb, limit)
 
 
+def onnx_need_mb(window: int) -> int:
+    """By the curve through the two measured windows."""
+    slope = (19_400 - 5_100) / (352_800**2 - 176_400**2)
+    return max(round(5_100 + slope * (window**2 - 176_400**2)), 0)
+
+
+def network_need_mb(window: int, bands: int = 60, heads: int = 8, inner: int = 512, dim: int = 384, hop: int = 441) -> int:
+    """By the sizes of the largest arrays: scores and their shares, projections, activations and the host's buffers."""
+    frames = window // hop + 1
+    values = (bands * heads * frames**2, bands * heads * frames**2, bands * frames * 3 * inner, 4 * frames * bands * dim, 7 * window)
+    return sum(-(-4 * v // (1 << 20)) for v in values)
+
+
 class Peak:
     """The most this process held while a block ran, in MiB."""
 

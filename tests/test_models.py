@@ -128,6 +128,42 @@ def test_forward_keeps_shape_and_masks_linearly():
     assert np.abs(ones.forward(mix) - mix).max() < 1e-9
 
 
+def test_network_stems_against_a_loop(spark):
+    """The query's stems are those of a plain loop over windows on the driver."""
+    from wavelane.operators import overlap
+    from wavelane.plans.queries_models import SMALL, network_stems
+    from wavelane.plans.registry import GRID, events_signal
+
+    sf = "/root/testdata/sf0.001"
+    engine = N.NetworkSeparator(N.Network(SMALL, SMALL.random()), GRID.win)
+    got = network_stems(spark, sf).toPandas()
+    for name, own in events_signal(spark, sf).toPandas().groupby("track"):
+        own = own.sort_values("pos")
+        total, x = len(own), own[["l", "r"]].to_numpy().T
+        starts = [0] if total <= GRID.win else [*range(0, total - GRID.win + 1, GRID.hop)]
+        starts += [total - GRID.win] * (total > GRID.win and (total - GRID.win) % GRID.hop != 0)
+        sums, weights = np.zeros((4, total)), np.zeros(total)
+        for k, s in enumerate(starts):
+            n = min(GRID.win, total - s)
+            mix = np.zeros((2, GRID.win), np.float32)
+            mix[:, :n] = x[:, s : s + n]
+            w = np.array([1.0 if not ((k and i < GRID.overlap) or (k + 1 < len(starts) and i >= GRID.hop)) else (i if k and i < GRID.overlap else GRID.win - 1 - i) / (GRID.overlap - 1) for i in range(GRID.win)])
+            out = np.concatenate(engine.separate(mix))
+            sums[:, s : s + n] += (out * w)[:, :n]
+            weights[s : s + n] += w[:n]
+        mine = got[got.track == name].sort_values("pos")
+        want = np.where(weights > 1e-8, sums / np.maximum(weights, 1e-8), 0)
+        assert len(mine) == total and np.abs(mine[list(overlap.PARTS)].to_numpy().T - want).max() < 2e-6
+
+
+def test_transposed_tensors(spark):
+    from wavelane.operators import weights as W
+
+    rows = [("a", [3, 2], [float(x) for x in range(6)]), ("b", [4], [1.0, 2.0, 3.0, 4.0]), ("c", [1, 3], [5.0, 6.0, 7.0])]
+    got = {r.key: (r.shape, r.data) for r in W.transposed(spark.createDataFrame(rows, "key string, shape array<int>, data array<double>")).collect()}
+    assert got == {"a": ([2, 3], [0.0, 2.0, 4.0, 1.0, 3.0, 5.0]), "b": rows[1][1:], "c": ([3, 1], rows[2][2])}
+
+
 def test_attention_against_loops():
     s, w = SMALL, SMALL.random(3)
     net, p = N.Network(s, w), "layers_0.time_transformer.layers_0."

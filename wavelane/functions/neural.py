@@ -69,6 +69,6 @@ def rope(x: Column, place: Column, base: float = 10000.0) -> Column:
 
 
 def linear(x: Column, rows: Column, bias: Column | None = None) -> Column:
-    """rows: an array of weight rows, one an output."""
-    out = F.transform(rows, lambda w: dot(x, w))
+    """rows: an array of weight rows, one an output; a literal is best. x is computed once, not for each output."""
+    out = bind(x, lambda v: F.transform(rows, lambda w: dot(v, w)))
     return out if bias is None else F.zip_with(out, bias, lambda a, b: a + b)

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.grid import Grid
+from ..plans.grid import Grid, every_position
 
 PARTS = ("voc_l", "voc_r", "bg_l", "bg_r")
 
@@ -113,7 +113,7 @@ def ordered_sum(parts: DataFrame, keys: list[str], value: str = "c", order: str
 
 def filled(out: DataFrame, tracks: DataFrame, keys: list[str], columns: tuple[str, ...] = PARTS) -> DataFrame:
     """out with silence at positions of tracks (keys, total) that it lacks."""
-    every = tracks.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1)).alias("pos"))
+    every = every_position(tracks.select(*keys, "total"), F.col("total")).drop("total")
     return every.join(out, [*keys, "pos"], "left").select(*keys, "pos", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in columns])
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.signal import hann, reflect
+from ..plans.grid import every_position
 
 N_FFT, HOP = 2048, 441
 
@@ -45,7 +46,7 @@ def istft(spec: np.ndarray, length: int, n_fft: int = N_FFT, hop: int = HOP) ->
 
 def framed(signal: DataFrame, keys: list[str], n_fft: int, hop: int) -> DataFrame:
     """keys, frame, k, v: every frame's samples, mirrored at the ends; signal: keys, pos, total, v."""
-    frames = signal.select(*keys, "total").distinct().select(*keys, "total", F.explode(F.sequence(F.lit(0), F.floor(F.col("total") / hop).cast("int"))).alias("frame"))
+    frames = every_position(signal.select(*keys, "total").distinct(), F.floor(F.col("total") / hop) + 1, "frame", 1 << 12).withColumn("frame", F.col("frame").cast("int"))
     places = frames.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_fft - 1))).alias("k"))
     at = reflect(F.col("frame") * hop + F.col("k") - n_fft // 2, F.col("total")).cast("long")
     return places.withColumn("pos", at).join(signal.select(*keys, "pos", "v"), [*keys, "pos"]).select(*keys, "total", "frame", "k", "v")

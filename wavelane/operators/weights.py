@@ -59,10 +59,12 @@ def check(found: DataFrame, want: DataFrame) -> DataFrame:
 
 def transposed(tensors: DataFrame) -> DataFrame:
     """(key, shape, data) with two-dimensional tensors turned from [out, in] to [in, out]."""
-    o, i = F.get("shape", F.lit(0)), F.get("shape", F.lit(1))
-    turned = F.transform(F.sequence(F.lit(0), o * i - 1), lambda p: F.get("data", ((p % o) * i + F.floor(p / o)).cast("int")))
-    two = F.size("shape") == 2
-    return tensors.select("key", F.when(two, F.reverse("shape")).otherwise(F.col("shape")).alias("shape"), F.when(two, turned).otherwise(F.col("data")).alias("data"))
+    # Under other names: in a lambda, a name means the select's own alias before the input's column.
+    old = tensors.select("key", F.col("shape").alias("__shape"), F.col("data").alias("__data"))
+    o, i = F.get("__shape", F.lit(0)), F.get("__shape", F.lit(1))
+    turned = F.transform(F.sequence(F.lit(0), o * i - 1), lambda p: F.get("__data", ((p % o) * i + F.floor(p / o)).cast("int")))
+    two = F.size("__shape") == 2
+    return old.select("key", F.when(two, F.reverse("__shape")).otherwise(F.col("__shape")).alias("shape"), F.when(two, turned).otherwise(F.col("__data")).alias("data"))
 
 
 def canonical_key(name: Column) -> Column:

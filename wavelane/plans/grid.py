@@ -100,6 +100,25 @@ class Grid:
         )
 
 
+def every_position(tracks: DataFrame, total: Column, name: str = "pos", per: int = 1 << 16) -> DataFrame:
+    """tracks once for each place 0 to total - 1; a long track's places are made in blocks, by many tasks."""
+    blocks = tracks.withColumn("__n", total.cast("long")).filter("__n > 0").withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / per))))
+    first = F.col("__block") * per
+    places = F.explode(F.sequence(first, F.least(first + per, F.col("__n")) - 1))
+    return blocks.repartition(*tracks.columns, "__block").withColumn(name, places).drop("__n", "__block")
+
+
+def neighbours(rows: DataFrame, track: list[str], order: list[str], bucket: Column, value: str) -> DataFrame:
+    """rows with `before`, the value that comes before in their track's order; ranked inside buckets, as in positions."""
+    rows = rows.withColumn("__bucket", bucket)
+    last = rows.groupBy(*track, "__bucket").agg(F.max_by(value, F.struct(*order)).alias("__last"))
+    last = last.select(*track, "__bucket", F.lag("__last").over(Window.partitionBy(*track).orderBy("__bucket")).alias("__last"))
+    own = Window.partitionBy(*track, "__bucket").orderBy(*order)
+    inside = rows.withColumns({"__first": F.row_number().over(own) == 1, "before": F.lag(value).over(own)})
+    joined = inside.join(last, [*track, "__bucket"])
+    return joined.withColumn("before", F.when(F.col("__first"), F.col("__last")).otherwise(F.col("before"))).drop("__bucket", "__last", "__first")
+
+
 def positions(rows: DataFrame, track: list[str], order: list[str], bucket: Column) -> DataFrame:
     """rows with pos, the place in their track, and total, the track's length.
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import signal as S
 from ..operators import admission, metrics, weights
 from ..sources import sidecar
+from .grid import neighbours
+from .queries_signal import BRIDGE
 from .registry import load, query, r6
 
 W = "WITH "
@@ -102,23 +103,26 @@ def progress_and_rate(spark, sf_dir):
     return orders(spark, sf_dir).select("k", S.progress_percent(p, total).alias("percent"), r6(S.real_time_factor(p, (c % 10).cast("double"))).alias("rtf"))
 
 
-NAMES = [
-    ("model.band_split.to_features.7.0.gamma", "band_split.to_features_7.norm.weight"),
-    ("model.band_split.to_features.12.1.weight", "band_split.to_features_12.linear.weight"),
-    ("model.layers.3.0.layers.0.0.norm.gamma", "layers_3.time_transformer.layers_0.attn.norm.weight"),
-    ("model.layers.3.1.layers.0.0.to_out.0.weight", "layers_3.freq_transformer.layers_0.attn.to_out.layers.0.weight"),
-    ("model.layers.5.1.layers.0.1.net.4.bias", "layers_5.freq_transformer.layers_0.ff.net.layers.4.bias"),
-    ("model.layers.0.0.norm.gamma", "layers_0.time_transformer.norm.weight"),
-    ("model.mask_estimators.0.to_freqs.9.0.2.weight", "mask_estimators_0.to_freqs_9.layers.2.weight"),
-    ("other.weight", None),
-]
+# Exported names and keys of all tensors, by the structure of either naming.
+NAMES = """parts AS (SELECT * FROM (VALUES ('0.norm.gamma', 'attn.norm.weight'), ('0.to_qkv.weight', 'attn.to_qkv.weight'), ('0.to_gates.weight', 'attn.to_gates.weight'), ('0.to_gates.bias', 'attn.to_gates.bias'), ('0.to_out.0.weight', 'attn.to_out.layers.0.weight'),
+('1.net.0.gamma', 'ff.net.layers.0.weight'), ('1.net.1.weight', 'ff.net.layers.1.weight'), ('1.net.1.bias', 'ff.net.layers.1.bias'), ('1.net.4.weight', 'ff.net.layers.4.weight'), ('1.net.4.bias', 'ff.net.layers.4.bias')) t(part, own)),
+names AS (SELECT 'model.band_split.to_features.' || b || '.' || s.part AS name, 'band_split.to_features_' || b || '.' || s.own AS key FROM b, (VALUES ('0.gamma', 'norm.weight'), ('1.weight', 'linear.weight'), ('1.bias', 'linear.bias')) s(part, own)
+UNION ALL SELECT 'model.mask_estimators.0.to_freqs.' || b || '.0.' || j || '.' || p, 'mask_estimators_0.to_freqs_' || b || '.layers.' || j || '.' || p FROM b, j, p
+UNION ALL SELECT 'model.layers.' || i || '.' || x.n || '.layers.0.' || part, 'layers_' || i || '.' || x.axis || '.layers_0.' || own FROM i, parts, (VALUES (0, 'time_transformer'), (1, 'freq_transformer')) x(n, axis)
+UNION ALL SELECT 'model.layers.' || i || '.' || x.n || '.norm.gamma', 'layers_' || i || '.' || x.axis || '.norm.weight' FROM i, (VALUES (0, 'time_transformer'), (1, 'freq_transformer')) x(n, axis)
+UNION ALL SELECT 'other.weight', NULL)"""
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', {'NULL' if b is None else repr(b)})" for a, b in NAMES) + ") t(name, key)")
-def canonical_keys(spark, sf_dir):
-    """Keys of exported parameter names."""
-    n = spark.createDataFrame([(a,) for a, _ in NAMES], "name string")
-    return n.select("name", weights.canonical_key(F.col("name")).alias("key"))
+def exported_names(spark):
+    """The names under which the 672 tensors are exported, and one that is none of them."""
+    parts = ["0.norm.gamma", "0.to_qkv.weight", "0.to_gates.weight", "0.to_gates.bias", "0.to_out.0.weight", "1.net.0.gamma", "1.net.1.weight", "1.net.1.bias", "1.net.4.weight", "1.net.4.bias"]
+    names = ["other.weight"]
+    for b in range(60):
+        names += [f"model.band_split.to_features.{b}.{p}" for p in ("0.gamma", "1.weight", "1.bias")]
+        names += [f"model.mask_estimators.0.to_freqs.{b}.0.{j}.{p}" for j in (0, 2, 4) for p in ("weight", "bias")]
+    for i in range(weights.DEPTH):
+        names += [f"model.layers.{i}.{x}.{p}" for x in (0, 1) for p in (*(f"layers.0.{q}" for q in parts), "norm.gamma")]
+    return spark.createDataFrame([(n,) for n in names], "name string")
 
 
 KEYS = """b AS (SELECT unnest(range(0, 60)) AS b), i AS (SELECT unnest(range(0, 6)) AS i), a AS (SELECT unnest(['time_transformer', 'freq_transformer']) AS a), j AS (SELECT unnest([0, 2, 4]) AS j), p AS (SELECT unnest(['weight', 'bias']) AS p),
@@ -128,13 +132,22 @@ UNION ALL SELECT 'layers_' || i || '.' || a || '.' || unnest(['norm.weight', 'la
 'layers_0.ff.net.layers.0.weight', 'layers_0.ff.net.layers.1.weight', 'layers_0.ff.net.layers.1.bias', 'layers_0.ff.net.layers.4.weight', 'layers_0.ff.net.layers.4.bias']) FROM i, a)"""
 
 
+@query(W + KEYS + ", " + NAMES + " SELECT name, key FROM names")
+def canonical_keys(spark, sf_dir):
+    """Keys of exported parameter names."""
+    return exported_names(spark).select("name", weights.canonical_key(F.col("name")).alias("key"))
+
+
 @query(W + KEYS + " SELECT key, CAST(CASE WHEN ends_with(key, 'bias') OR contains(key, 'norm.') OR ends_with(key, 'net.layers.0.weight') THEN 1 ELSE 2 END AS INTEGER) AS rank FROM keys")
 def weight_keys(spark, sf_dir):
     """The 672 tensors, by name and rank."""
     return weights.expected(spark).select("key", F.size("shape").alias("rank"))
 
 
-@query("""SELECT fault, count(*) AS n FROM (SELECT unnest(['unknown', 'missing', 'missing', 'shape 384x28 for 28x384', 'repeated']) AS fault) GROUP BY fault""")
+@query(W + KEYS + ", " + BRIDGE + """, found AS (SELECT key FROM keys WHERE key NOT IN ('layers_0.time_transformer.norm.weight', 'layers_5.freq_transformer.norm.weight') UNION ALL SELECT unnest(['optimizer.step', 'layers_0.time_transformer.layers_0.attn.norm.weight'])),
+faults AS (SELECT 'unknown' AS fault FROM (SELECT DISTINCT key FROM found WHERE key NOT IN (SELECT key FROM keys)) UNION ALL SELECT 'missing' FROM keys WHERE key NOT IN (SELECT key FROM found)
+UNION ALL SELECT 'repeated' FROM (SELECT key FROM found GROUP BY key HAVING count(*) > 1) UNION ALL SELECT 'shape 384x' || 4 * count(*) || ' for ' || 4 * count(*) || 'x384' FROM bridge WHERE band = 0)
+SELECT fault, count(*) AS n FROM faults GROUP BY fault""")
 def weight_faults(spark, sf_dir):
     """A file with two tensors short, one too many, one turned and one given twice."""
     want = weights.expected(spark)
@@ -298,5 +311,6 @@ def patch_verdicts(spark, sf_dir):
 @query(W + "e AS (SELECT event_type AS t, ts, value, lag(value) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS b FROM events) SELECT t, round(max(value), 6) + 0.0 AS peak, round(max(abs(value - b)), 6) + 0.0 AS step FROM e GROUP BY t")
 def peak_levels(spark, sf_dir):
     """the peak over a bracket, and the largest step."""
-    e = load(spark, sf_dir, "events").select(F.col("event_type").alias("t"), "value", F.lag("value").over(Window.partitionBy("event_type").orderBy("ts", "event_id")).alias("b"))
-    return e.groupBy("t").agg(r6(F.max("value")).alias("peak"), r6(F.max(F.abs(F.col("value") - F.col("b")))).alias("step"))
+    e = load(spark, sf_dir, "events").select(F.col("event_type").alias("t"), "value", "ts", "event_id")
+    e = neighbours(e, ["t"], ["ts", "event_id"], F.date_trunc("day", "ts"), "value")
+    return e.groupBy("t").agg(r6(F.max("value")).alias("peak"), r6(F.max(F.abs(F.col("value") - F.col("before")))).alias("step"))

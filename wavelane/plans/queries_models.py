@@ -72,14 +72,16 @@ def graph_windows(spark, sf_dir):
     return rows.mapInPandas(go, "k long, window long, capacity long, nodes long, sites long, patched long")
 
 
-@query("""SELECT * FROM (VALUES (1, 0, 1), (7, 2, 1)) t(field, wire, n)""")
+@query("""SELECT * FROM (SELECT 1 AS field, 0 AS wire, CAST(count(*) AS INTEGER) AS n FROM orders UNION ALL SELECT 7, 2, CAST(count(*) AS INTEGER) FROM orders)""")
 def graph_fields(spark, sf_dir):
-    """The outermost fields of a serialised model, as a table function over binary."""
-    df = spark.createDataFrame([(bytearray(sample_graph(176_400)),)], "model binary")
+    """The outermost fields of serialised models, one for each order's window, as a table function."""
+    from .registry import load
+
+    df = load(spark, sf_dir, "orders").select(((F.col("o_orderkey") % 800 + 1) * 441).alias("window"))
 
     def go(batches):
         for pdf in batches:
-            found = [x[:2] for m in pdf.model for x in modelgraph.scan(bytes(m))]
+            found = [x[:2] for w in pdf.window for x in modelgraph.scan(sample_graph(int(w)))]
             yield type(pdf)(found, columns=["field", "wire"])
 
     return df.mapInPandas(go, "field int, wire int").groupBy("field", "wire").agg(F.count("*").cast("int").alias("n"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import neural as N
+from ..operators import weights as W_
+from .grid import positions
 from .registry import load, query, r6
 
 PI = "3.141592653589793::DOUBLE"
@@ -54,8 +55,8 @@ t AS (SELECT a.vec_id, a.i, a.v, b.v AS o, a.place / pow(10000.0::DOUBLE, 2.0::D
 SELECT vec_id, i, round(v * cos(th) + CASE WHEN i % 2 = 0 THEN -o ELSE o END * sin(th), 6) + 0.0 AS v FROM t""")
 def rope(spark, sf_dir):
     """Rotary positions; a vector's place is its rank within its label."""
-    place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    return long_form(vectors(spark, sf_dir).withColumn("place", place).withColumn("y", N.rope(F.col("x"), F.col("place").cast("double"))), "y")
+    placed = positions(vectors(spark, sf_dir), ["label"], ["vec_id"], F.floor(F.col("vec_id") / 4096))
+    return long_form(placed.withColumn("y", N.rope(F.col("x"), F.col("pos").cast("double"))), "y")
 
 
 @query(W + X + ", m AS (SELECT vec_id, max(v) AS m FROM x GROUP BY vec_id), s AS (SELECT vec_id, sum(exp(v - m)) AS s FROM x JOIN m USING (vec_id) GROUP BY vec_id) SELECT vec_id, i, round(exp(v - m) / s, 6) + 0.0 AS v FROM x JOIN m USING (vec_id) JOIN s USING (vec_id)")
@@ -82,13 +83,14 @@ WEIGHT = "(((i * 7 + o * 13) % 11) - 5) / 10.0::DOUBLE"
 
 
 def weights(outputs, inputs):
-    return F.transform(F.sequence(F.lit(0), F.lit(outputs - 1)), lambda o: F.transform(F.sequence(F.lit(0), F.lit(inputs - 1)), lambda i: (((i * 7 + o * 13) % 11) - 5) / 10.0))
+    """A literal, which the optimizer folds once."""
+    return F.lit([[((i * 7 + o * 13) % 11 - 5) / 10.0 for i in range(inputs)] for o in range(outputs)])
 
 
 @query(W + X + f", o AS (SELECT unnest(range(0, 12)) AS o) SELECT vec_id, o AS i, round(sum(v * {WEIGHT}) + o / 10.0::DOUBLE, 6) + 0.0 AS v FROM x, o GROUP BY vec_id, o")
 def linear_layer(spark, sf_dir):
     """E5, K4: vectors times a fixed weight matrix, plus bias."""
-    bias = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda o: o / 10.0)
+    bias = F.lit([o / 10.0 for o in range(12)])
     return long_form(vectors(spark, sf_dir).withColumn("y", N.linear(F.col("x"), weights(12, 64), bias)), "y")
 
 
@@ -119,11 +121,14 @@ def component_statistics(spark, sf_dir):
     return rows.groupBy("label", "i").agg(F.count("*").alias("n"), r6(F.avg("v")).alias("mean"), r6(F.sqrt(F.sum(F.col("v") * F.col("v")))).alias("norm")).withColumn("i", F.col("i").cast("long"))
 
 
-@query(W + X + " SELECT i AS vec_id_as_column, vec_id AS i, round(v, 6) + 0.0 AS v FROM x")
+@query(W + X + """, r AS (SELECT vec_id // 25 AS key, i, v, row_number() OVER (PARTITION BY vec_id // 25, i ORDER BY vec_id) - 1 AS nth, count(*) OVER (PARTITION BY vec_id // 25, i) AS n FROM x)
+SELECT CAST(key AS VARCHAR) AS key, CAST(n AS INTEGER) AS columns, CAST(i * n + nth AS BIGINT) AS place, round(v, 6) + 0.0 AS v FROM r""")
 def transposed(spark, sf_dir):
-    """The matrix of all vectors with rows and columns swapped."""
-    rows = vectors(spark, sf_dir).select("vec_id", F.posexplode("x").alias("j", "v"))
-    return rows.select(F.col("j").cast("long").alias("vec_id_as_column"), F.col("vec_id").alias("i"), r6(F.col("v")).alias("v"))
+    """25 vectors are a tensor of rank 2; its rows and columns swapped, value by value."""
+    rows = vectors(spark, sf_dir).groupBy(F.floor(F.col("vec_id") / 25).cast("string").alias("key")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "x"))).alias("m"))
+    tensors = rows.select("key", F.array(F.size("m"), F.lit(64)).alias("shape"), F.flatten(F.col("m.x")).alias("data"))
+    turned = W_.transposed(tensors).select("key", F.get("shape", F.lit(1)).alias("columns"), F.posexplode("data").alias("place", "v"))
+    return turned.select("key", "columns", F.col("place").cast("long").alias("place"), r6(F.col("v")).alias("v"))
 
 
 @query(W + "s AS (SELECT event_type AS track, value, CASE WHEN event_id % 97 = 0 THEN 'NaN'::DOUBLE WHEN event_id % 89 = 0 THEN 'Infinity'::DOUBLE ELSE value END AS v FROM events) SELECT track, count(*) FILTER (isfinite(v)) AS finite, count(*) FILTER (NOT isfinite(v)) AS not_finite FROM s GROUP BY track")

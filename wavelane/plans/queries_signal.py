@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions import signal as S
 from ..operators import bands, spectral
-from .registry import SIGNAL, TRACKS, events_signal, load, query, r6
+from .grid import every_position
+from .registry import SIGNAL, TRACKS, events_signal, load, query, r6, schedule_sql
 
 W = "WITH "
 PI = "3.141592653589793::DOUBLE"
@@ -49,7 +50,7 @@ def linear_resample(spark, sf_dir):
     """From 48 kHz to 44.1 kHz by two equi-joins on source frames."""
     sig = events_signal(spark, sf_dir)
     t = sig.select("track", "total").distinct().withColumn("target", S.target_length(F.col("total"), F.lit(48000.0)))
-    out = t.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("target") - 1)).alias("i"))
+    out = every_position(t, F.col("target"), "i")
     p = S.source_position(F.col("i"), F.col("total"), F.col("target"))
     out = out.withColumns({"a": F.least(F.floor(p).cast("long"), F.col("total") - 1), "b": F.least(F.floor(p).cast("long") + 1, F.col("total") - 1), "frac": p - F.floor(p)})
     x, y = (sig.select("track", F.col("pos").alias(c), F.col("l").alias(f"l_{c}"), F.col("r").alias(f"r_{c}")) for c in "ab")
@@ -174,7 +175,13 @@ def masked_spectrum(spark, sf_dir):
     return spec.select("track", "frame", "bin", m.alias("m")).select("track", "frame", "bin", r6(F.col("m.re")).alias("re"), r6(F.col("m.im")).alias("im"))
 
 
-@query()
+# By Parseval's theorem: half of 2048 times the energy, and of the squares of the two bins that are their own mirror.
+@query(W + schedule_sql(4410, 1000) + f""", fr AS (SELECT track, win_id, start, take, unnest(range(0, take // 441 + 1)) AS frame FROM sched),
+pl AS (SELECT track, win_id, start, take, frame, k, frame * 441 + k - 1024 AS p FROM fr, (SELECT unnest(range(0, 2048)) AS k)),
+mi AS (SELECT track, win_id, frame, k, start + greatest(least(CASE WHEN abs(p) >= take THEN 2 * (take - 1) - abs(p) ELSE abs(p) END, take - 1), 0) AS pos FROM pl),
+fx AS (SELECT mi.track, win_id, frame, k, l * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * {PI} * k / 2048)) AS x FROM mi JOIN sig ON sig.track = mi.track AND sig.pos = mi.pos)
+SELECT track, CAST(win_id AS INTEGER) AS win_id, CAST(frame AS INTEGER) AS frame, round((2048 * sum(x * x) + sum(x) * sum(x) + sum(CASE WHEN k % 2 = 0 THEN x ELSE -x END) * sum(CASE WHEN k % 2 = 0 THEN x ELSE -x END)) / 2, 4) + 0.0 AS energy
+FROM fx GROUP BY ALL""")
 def fft_energy(spark, sf_dir):
     """K1 at full size: spectra of 2048 points of each window by FFT, as energy a frame."""
     from ..operators.overlap import windows
@@ -183,7 +190,7 @@ def fft_energy(spark, sf_dir):
     wins = windows(events_signal(spark, sf_dir), Grid(4410, 1000), ["track"])
     spec = spectral.track_spectra(wins, ["track"])
     power = F.aggregate(F.zip_with("re", "im", lambda a, b: a * a + b * b), F.lit(0.0), lambda s, x: s + x)
-    return spec.select("track", "win_id", "frame", F.round(power, 4).alias("energy"))
+    return spec.select("track", "win_id", "frame", (F.round(power, 4) + F.lit(0.0)).alias("energy"))
 
 
 @query(f"""WITH f AS (SELECT unnest(range(0, 44100)) AS i)

@@ -75,27 +75,21 @@ def encode(rows: DataFrame, *keys: str) -> DataFrame:
 
 def decode(text: Column) -> Column:
     """struct of the nine fields and fault, which is null if the text is a whole sidecar."""
-    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
-    own = F.filter(lines, lambda x: (x != "") & ~x.startswith("#"))
-    pairs = F.transform(own, lambda x: bind(F.split(x, "=", 2), lambda kv: F.struct(F.trim(F.get(kv, F.lit(0))).alias("k"), F.trim(F.get(kv, F.lit(1))).alias("v"))))
-
-    def read(pairs: Column, known: Column, names: Column) -> Column:
-        def value(name: str) -> Column:
-            at = F.array_position(names, name)
-            return F.when(at > 0, F.get(known, (at - 1).cast("int"))["v"].try_cast("long")).alias(name)
-
-        n = F.size(F.array_distinct(names))
-        bad_line = F.exists(pairs, lambda p: p["v"].isNull())
-        bad_number = F.exists(known, lambda p: ~p["v"].rlike("^[0-9]+$"))
-        fault = F.when(bad_line, "not key=value").when(n < F.size(names), "repeated field").when(n < len(FIELDS), F.concat(F.lit(len(FIELDS)) - n, F.lit(" fields are missing"))).when(bad_number, "no number")
-        return F.struct(*[value(f) for f in FIELDS], fault.alias("fault"))
-
-    def split(pairs: Column) -> Column:
-        known = F.filter(pairs, lambda p: p["k"].isin(*FIELDS))
-        return bind(known, lambda k: bind(F.transform(k, lambda p: p["k"]), lambda names: read(pairs, k, names)))
+    blank = r"[^\S\n]*"
+    # A field's line from its equals sign on; nothing if it is missing.
+    found = F.array(*[F.regexp_extract(text, rf"(?m)^{blank}{f}{blank}(=[^\n]*)$", 1) for f in FIELDS])
+    given = F.regexp_count(text, F.lit(rf"(?m)^{blank}(?:{'|'.join(FIELDS)}){blank}="))
+    bad_line = text.rlike(rf"(?m)^{blank}[^\s#=][^=\n]*$")
+
+    def read(found: Column) -> Column:
+        values = [F.trim(F.substring(F.get(found, F.lit(k)), 2, 1 << 20)) for k in range(len(FIELDS))]
+        n = F.size(F.filter(found, lambda x: x != ""))
+        bad_number = F.exists(found, lambda x: (x != "") & ~x.rlike(r"^=\s*[0-9]+\s*$"))
+        fault = F.when(bad_line, "not key=value").when(given > n, "repeated field").when(n < len(FIELDS), F.concat(F.lit(len(FIELDS)) - n, F.lit(" fields are missing"))).when(bad_number, "no number")
+        return F.struct(*[v.try_cast("long").alias(f) for v, f in zip(values, FIELDS, strict=True)], fault.alias("fault"))
 
     none = F.struct(*[F.lit(None).cast("long").alias(f) for f in FIELDS], F.lit("no sidecar").alias("fault"))
-    return F.when(text.isNull(), none).otherwise(bind(pairs, split))
+    return F.when(text.isNull(), none).otherwise(bind(found, read))
 
 
 def difference(a: str, b: str) -> Column:

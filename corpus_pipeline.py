@@ -44,9 +44,9 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their sequences."""
+    """Pieces of all documents with their sequences and their ids, to train on."""
     wavelane.ship(spark)
-    return packing.pack(docs)
+    return packing.pack(docs, keep_ids=True)
 
 
 STAGES = [
@@ -62,10 +62,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies STAGES to documents; each stage reads what the one before wrote."""
+    """Applies STAGES to documents; each stage reads what the one before wrote, which then goes."""
     wavelane.ship(spark)
     folder = common.shared_dir(spark)
     docs = common.table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = common.stored(stage(spark, docs, sf_dir), f"{folder}/stage-{k}")
+        common.drop_dir(spark, f"{folder}/stage-{k - 1}")
     return docs

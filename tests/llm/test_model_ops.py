@@ -260,11 +260,12 @@ def test_neighbours(spark, sf):
 
 def test_neighbours_of_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, [0.0, 1.0]), (9, [-1.0, 0.0]), (10, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (50, [1.0, 0.0]), (50, [1.0, 0.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, [0.0, 1.0]), (9, [-1.0, 0.0]), (10, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (50, [1.0, 0.0]), (50, [1.0, 0.0]), (100, [2.0, 4.0, 6.0]), (101, [0.0, 0.0, 1.0]), (150, [5.0])]
+    df = spark.createDataFrame([(i, v, "x", i, 0.5) for i, v in rows], "vec_id long, embedding array<double>, rep string, id long, score double")
     got = A.search(df, F.col("id") % 50 == 0).orderBy("query_id", "rank").collect()
     assert [r.vec_id for r in got if r.query_id == 0] == [1, 2, 50, 8, 9] and [r.vec_id for r in got if r.query_id == 50] == [0, 1, 2, 8, 9]
     assert [r.score for r in got if r.query_id == 0] == [1.0, 1.0, 1.0, 0.0, -1.0]
+    assert [(r.vec_id, r["rank"]) for r in got if r.query_id == 100] == [(10, 1), (101, 2)] and not [r for r in got if r.query_id == 150]
     assert A.search(df.limit(0), F.col("id") % 50 == 0).count() == 0
     few = A.search(df.filter("vec_id IN (0, 8)"), F.col("id") % 50 == 0).collect()
     assert [(r.query_id, r["rank"], r.vec_id) for r in few] == [(0, 1, 8)]

@@ -21,14 +21,16 @@ of all rows share costs one row and hides nothing. Queries pass in blocks of at
 most about `BLOCK`, whose tables are broadcast; a block's size, not the corpus,
 bounds that. A task keeps the best of what it scans.
 
-Defined results: vectors that are null, zero, of another length than the most
-common one, or that hold null or non-finite components take no part, nor do rows
-without id. Rows that repeat an id and its vector are one row. With fewer
+Defined results: vectors that are null, zero or that hold null or non-finite
+components take no part, nor do rows without id. Vectors of different lengths have no
+cosine: those of each length are searched apart, one length after the other. Rows that repeat an id and its vector are one row. With fewer
 candidates than asked for, all are returned; an empty table returns nothing.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -105,9 +107,7 @@ def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     v = F.col(embedding).cast("array<double>")
     # A finite number is one whose difference to itself is 0.
     fine = vectors.filter(F.col(vec_id).isNotNull() & F.col(embedding).isNotNull()).select(F.col(vec_id).alias("id"), v.alias("v"))
-    fine = fine.filter(F.forall("v", lambda x: x.isNotNull() & (x - x == 0)) & F.exists("v", lambda x: x != 0))
-    sizes = fine.groupBy(F.size("v").alias("s")).count().orderBy(F.desc("count"), "s").first()
-    return fine.filter(F.size("v") == (sizes[0] if sizes else 0))
+    return fine.filter(F.forall("v", lambda x: x.isNotNull() & (x - x == 0)) & F.exists("v", lambda x: x != 0))
 
 
 def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
@@ -249,16 +249,26 @@ def search(vectors: DataFrame, is_query, *, k: int = 5, vec_id: str = "vec_id",
     spark = vectors.sparkSession
     folder = shared_dir(spark)
     rows = stored(usable(vectors, vec_id, embedding), f"{folder}/rows")
-    kind = rows.schema["id"].dataType
+    sizes = sorted(r[0] for r in rows.select(F.size("v")).distinct().collect())  # as many as there are lengths
+    found = [_search(rows.filter(F.size("v") == s), is_query, k, rerank, block, f"{folder}/of-{s}") for s in sizes]
+    drop_dir(spark, f"{folder}/rows")
+    return _nearest(functools.reduce(DataFrame.unionAll, found, _nothing(spark, rows.schema["id"].dataType)), k)
+
+
+def _nothing(spark, kind: T.DataType) -> DataFrame:
+    return spark.createDataFrame([], T.StructType([T.StructField("query_id", kind), T.StructField("ids", T.ArrayType(kind)), T.StructField("score", T.DoubleType())]))
+
+
+def _search(rows: DataFrame, is_query, k: int, rerank: int, block: int, folder: str) -> DataFrame:
+    """(query_id, ids, score) of what any task finds best, among vectors of one length."""
+    spark, kind = rows.sparkSession, rows.schema["id"].dataType
     distinct = stored(distinct_vectors(rows, k + 1), f"{folder}/distinct")
     queries = stored(rows.filter(is_query).dropDuplicates(["id"]).select(F.col("id").alias("query_id"), F.col("v").alias("q")), f"{folder}/queries")
-    drop_dir(spark, f"{folder}/rows")
-    codes, q = build(distinct)
     n = queries.count()
-    found = spark.createDataFrame([], T.StructType([T.StructField("query_id", kind), T.StructField("ids", T.ArrayType(kind)), T.StructField("score", T.DoubleType())]))
-    if q is not None and n:
+    found = _nothing(spark, kind)
+    if n:  # so there are vectors to build from
+        codes, q = build(distinct)
         codes = stored(codes, f"{folder}/codes")
-        drop_dir(spark, f"{folder}/distinct")
         dealt = codes.coalesce(max(1, -(-codes.count() // SCAN)))
         blocks = -(-n // block)
         of = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
@@ -270,8 +280,9 @@ def search(vectors: DataFrame, is_query, *, k: int = 5, vec_id: str = "vec_id",
                 hits = scan(dealt, q, ids, vectors, rerank).withColumn("r", F.row_number().over(best)).filter(F.col("r") <= rerank).drop("r")
                 near = _nearest(_cosines(hits.join(queries, "query_id").join(codes, "rep"), kind), k)
                 marks = dict(near.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("s")).filter(F.col("n") == k).select("query_id", "s").collect())
-                found = found.union(stored(complete(dealt, q, ids, vectors, np.array([marks.get(i, -2.0) for i in ids]), k + 1), f"{folder}/found-{b}"))
-    return _nearest(found, k)
+                found = found.unionAll(stored(complete(dealt, q, ids, vectors, np.array([marks.get(i, -2.0) for i in ids]), k + 1), f"{folder}/found-{b}"))
+    drop_dir(spark, f"{folder}/distinct", f"{folder}/queries", f"{folder}/codes")
+    return found
 
 
 def _nearest(found: DataFrame, k: int) -> DataFrame:

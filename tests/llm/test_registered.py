@@ -39,3 +39,25 @@ def test_pipeline_stages(spark):
     assert sum(hit for _, hit, _ in C.contamination([t for _, t in rows[3]], items)) == 0
     assert {r.doc_id for r in made[4].select("doc_id").distinct().collect()} == {i for i, _ in rows[3]}
     assert packing.padding(made[4]).first().sequences > 0
+
+
+@pytest.mark.parametrize("with_docs", [True, False])
+def test_pipeline_on_awkward_tables(spark, tmp_path, with_docs):
+    """Null, empty, very long, repeated rows against an empty benchmark; no documents against some items."""
+    import corpus_pipeline as P
+
+    docs = (C.documents(spark) if with_docs else C.empty(spark)).select("doc_id", "text", "lang", "source", "n_chars")
+    items = spark.createDataFrame([] if with_docs else [("1", C.PASSAGE)], "item_id string, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = P.run(spark, str(tmp_path)).collect()
+    if not with_docs:
+        assert out == []
+        return
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert {r.doc_id for r in out} <= {i for i, t in rows if t and C.space_words(t)}
+    for r in out:
+        assert len(r.ids) == r.length and r.offset + r.length <= packing.CAPACITY
+    # The long document, in lower case, is one of those that stay, whole.
+    whole = [r for r in out if r.doc_id == 15]
+    assert sum(r.length for r in whole) == whole[0].doc_tokens

@@ -38,7 +38,7 @@ def stored(df: DataFrame, where: str) -> DataFrame:
 
 
 #: Seconds between two collections of garbage, at least.
-TIDY_S = 10
+TIDY_S = 2
 _tidied = [0.0]
 
 
@@ -192,7 +192,7 @@ class SortedRuns:
                 drop_dir(self.spark, f"{self.folder}/{run}")
 
     def stage(self, grouped: DataFrame) -> DataFrame:
-        """A batch as a table in the buckets and order of the runs; grouped: by keys, in their order, with any other columns."""
+        """A batch as a table in the buckets and order of the runs; grouped: by keys, in their order, with all columns of a run and any others."""
         if partitions(self.spark) != self.buckets:
             grouped = grouped.repartition(self.buckets, *self.keys)
         self._forget(["staged"])
@@ -217,11 +217,22 @@ class SortedRuns:
             return action()
 
     def append(self, rows: DataFrame) -> None:
-        """A new run, of rows that come from a staged batch; full levels are merged. The staged batch goes."""
-        new, gone = self._write(rows.select(*self.schema.names), f"run-{self.made}"), ["staged"]
+        """A new run, of rows that come from the staged batch; full levels are merged.
+
+        Where there is no run yet, the staged batch is the run: its rows are all new.
+        """
+        run = f"run-{self.made}"
         self.made += 1
+        if self.runs():
+            self._write(rows.select(*self.schema.names), run)
+            gone = ["staged"]
+        else:
+            self._forget(["staged"], delete=False)
+            fs, staged = _at(self.spark, f"{self.folder}/staged")
+            fs.rename(staged, _at(self.spark, f"{self.folder}/{run}")[1])
+            gone = []
         self.levels = self.levels or [[]]
-        self.levels[0] = [*self.levels[0], new]
+        self.levels[0] = [*self.levels[0], run]
         level = 0
         while len(self.levels[level]) >= self.fanout:
             old, self.levels[level] = self.levels[level], []

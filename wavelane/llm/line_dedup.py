@@ -77,8 +77,11 @@ class LineIndex:
     def __init__(self, spark: SparkSession, folder: str, kind: T.DataType, fanout: int = FANOUT):
         self.runs = SortedRuns(spark, folder, ["key"], f"key binary, owner {kind.simpleString()}", lambda old, new: {"owner": old["owner"]}, fanout)
 
-    def add(self, batch: DataFrame, folder: str) -> DataFrame:
-        """Adds the stored (doc_id, key) rows of a batch; gives those whose line another document owns."""
+    def add(self, batch: DataFrame, folder: str, keep: bool = True) -> DataFrame:
+        """Adds the stored (doc_id, key) rows of a batch; gives those whose line another document owns.
+
+        keep: false for the last batch of an index that ends with it.
+        """
         runs = self.runs
         staged = runs.stage(batch.groupBy("key").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n")))
         met = runs.matched(staged)
@@ -87,7 +90,8 @@ class LineIndex:
         losing = spread_join(batch, shared.drop("n"), ["key"], ["doc_id"], counts=shared.select("key", "n"))
         losing = stored(losing.filter(F.col("owner") != F.col("doc_id")).select("doc_id", "key"), f"{folder}/losing")
         drop_dir(runs.spark, f"{folder}/shared")
-        runs.append(met.filter("known IS NULL"))
+        if keep:
+            runs.append(met.filter("known IS NULL"))
         return losing
 
 
@@ -112,7 +116,7 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     lines.write.partitionBy("batch").parquet(f"{folder}/lines")
     lines = spark.read.schema(lines.schema).parquet(f"{folder}/lines")
     held = LineIndex(spark, index or f"{folder}/index", docs.schema[doc_id].dataType, fanout)
-    losers = [held.add(lines.filter(F.col("batch") == k).drop("batch"), f"{folder}/batch-{k}") for k in range(batches)]
+    losers = [held.add(lines.filter(F.col("batch") == k).drop("batch"), f"{folder}/batch-{k}", keep=index is not None or k + 1 < batches) for k in range(batches)]
     held.runs.close(delete=index is None)
     drop_dir(spark, f"{folder}/lines")
     drops = functools.reduce(DataFrame.union, losers).groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("key").alias("__drop"))

@@ -51,7 +51,7 @@ from .common import SortedRuns, drop_dir, shared_dir, spread_join, stored, table
 
 WINDOW = 35
 GRAM = 8
-BATCHES = 2
+BATCHES = 3
 FANOUT = 2
 
 _TABLE = V.byte_table(V.SPACES, lower=False)
@@ -146,27 +146,21 @@ def _open(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, window: in
     return rows.mapInArrow(go, schema)
 
 
-def _reduced(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """A row a key: how many rows it has, and the place of one of them."""
-    return rows.groupBy(*keys).agg(F.count("*").alias("c"), *[F.first(p).alias(p) for p in PLACE])
-
-
-def _older(old, new) -> dict:
-    return {"n": F.least(old["n"] + new["n"], F.lit(2)), **{p: old[p] for p in PLACE}}
-
-
 class SubstringIndex:
     """Fingerprints of all documents added so far, in a folder.
 
-    Runs hold n, which is 1 or 2 (more than once), and the first place. `grams` says
-    whether an anchor gram has several fingerprints, or else the place of its one.
+    Three indexes alike: of fingerprints, of anchor grams by the fingerprints they have
+    been seen with, and of opened windows. A run holds how often a key came, and one
+    place; once it came twice, more isn't told.
     """
 
     def __init__(self, spark: SparkSession, folder: str, fanout: int = FANOUT, window: int = WINDOW, gram: int = GRAM):
+        def runs(name: str, keys: list[str]) -> SortedRuns:
+            columns = f"{', '.join(f'{k} long' for k in keys)}, c long, {PLACES}"
+            return SortedRuns(spark, f"{folder}/{name}", keys, columns, lambda old, new: {"c": old["c"] + new["c"], **{p: old[p] for p in PLACE}}, fanout)
+
         self.spark, self.window, self.gram = spark, window, gram
-        self.prints = SortedRuns(spark, f"{folder}/prints", PRINT, f"x1 long, x2 long, g long, n int, {PLACES}", _older, fanout)
-        self.windows = SortedRuns(spark, f"{folder}/windows", OPENED, f"y1 long, y2 long, n int, {PLACES}", _older, fanout)
-        self.grams = SortedRuns(spark, f"{folder}/grams", ["g"], f"g long, several boolean, {PLACES}", lambda old, new: {"several": F.lit(True), **{p: old[p] for p in PLACE}}, fanout)
+        self.prints, self.grams, self.windows = runs("prints", PRINT), runs("grams", ["g"]), runs("windows", OPENED)
 
     def add(self, docs: DataFrame, folder: str, *, doc_id: str = "doc_id", text: str = "text", earlier: DataFrame | None = None) -> DataFrame:
         """Adds documents; gives (d, th, a, m): m windows from word a on repeat, in the row with d and th, old or new.
@@ -176,41 +170,42 @@ class SubstringIndex:
         prints = stored(fingerprints(docs, doc_id, text, self.window, self.gram), f"{folder}/prints")
         return self._add(prints, docs if earlier is None else docs.select(doc_id, text).unionAll(earlier.select(doc_id, text)), folder, doc_id, text)
 
-    def _add(self, prints: DataFrame, texts: DataFrame, folder: str, doc_id: str, text: str) -> DataFrame:
-        """prints: those of the batch, stored; texts: the documents of the batch and of history."""
-        whole = self._repeated(self.prints, prints, PRINT, f"{folder}/whole")
-        fresh = self.prints.matched(self.spark.table(self.prints.tables["staged"])).filter("known IS NULL")
-
-        grams, staged = self.grams, self.grams.stage(_reduced(fresh, ["g"]))
-        met = grams.matched(staged)
-        several = met.filter("known IS NOT NULL OR c > 1")
-        several = grams.run(lambda: stored(several.select("g", "c", F.when(~F.col("known.several"), F.struct(*[F.col(f"known.{p}") for p in PLACE])).alias("one")), f"{folder}/several"))
-        total = staged.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-        wanted = spread_join(fresh.select("g", *PLACE), several.select("g"), ["g"], ["d", "a"], counts=several.select("g", F.col("c").alias("n")), total=total).select(*PLACE)
+    def _add(self, prints: DataFrame, texts: DataFrame, folder: str, doc_id: str, text: str, keep: bool = True) -> DataFrame:
+        """prints: those of the batch, stored; texts: the documents of the batch and of history; keep: false for the last batch of an index that ends with it."""
+        met, again = self._met(self.prints, prints, PRINT, f"{folder}/whole")
+        fresh = met.filter("known IS NULL").select("g", *PLACE)
+        met_grams, several = self._met(self.grams, fresh, ["g"], f"{folder}/grams")
+        total = several.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+        wanted = spread_join(fresh, several.select("g"), ["g"], ["d", "a"], counts=several.select("g", F.col("c").alias("n")), total=total).select(*PLACE)
         wanted = wanted.unionAll(several.filter("one IS NOT NULL").select("one.*"))
         opened = self.prints.run(lambda: stored(_open(texts, wanted, doc_id, text, self.window), f"{folder}/opened"))
-        grams.append(met.filter("known IS NULL OR NOT known.several").select("g", (F.col("known").isNotNull() | (F.col("c") > 1)).alias("several"), *PLACE))
-        single = self._repeated(self.windows, opened, OPENED, f"{folder}/single")
-        for runs in (self.prints, self.windows):
-            met = runs.matched(self.spark.table(runs.tables["staged"])).filter("known IS NULL OR known.n = 1")
-            runs.append(met.withColumn("n", F.when(F.col("known").isNull(), F.least("c", F.lit(2))).otherwise(1).cast("int")))
-        drop_dir(self.spark, f"{folder}/opened", f"{folder}/several")
-        return whole.unionAll(single)
-
-    def _repeated(self, runs: SortedRuns, rows: DataFrame, keys: list[str], folder: str) -> DataFrame:
-        """Places of the batch's rows whose key comes more than once, and that of history if it wasn't told yet; the batch stays staged."""
-        met = runs.matched(runs.stage(_reduced(rows, keys))).filter("known IS NOT NULL OR c > 1")
-        again = runs.run(lambda: stored(met.select(*keys, "c", F.when(F.col("known.n") == 1, F.struct(*[F.col(f"known.{p}") for p in PLACE])).alias("one")), f"{folder}-again"))
-        here = spread_join(rows, again.select(*keys), keys, ["d", "a"], counts=again.select(*keys, F.col("c").alias("n"))).select(*PLACE)
-        out = stored(here.unionAll(again.filter("one IS NOT NULL").select("one.*")), folder)
-        drop_dir(self.spark, f"{folder}-again")
-        return out
+        met_windows, twice = self._met(self.windows, opened, OPENED, f"{folder}/single")
+        spans = stored(_places(prints, PRINT, again).unionAll(_places(opened, OPENED, twice)), f"{folder}/spans")
+        if keep:
+            for runs, rows in ((self.prints, met), (self.grams, met_grams), (self.windows, met_windows)):
+                runs.append(rows.filter("known IS NULL OR known.c = 1"))
+        drop_dir(self.spark, *[f"{folder}/{n}" for n in ("opened", "whole", "grams", "single")])
+        return spans
+
+    @staticmethod
+    def _met(runs: SortedRuns, rows: DataFrame, keys: list[str], where: str) -> tuple[DataFrame, DataFrame]:
+        """The batch's keys with what history knows; of those that came more than once: keys, c, and in `one` history's place if that wasn't told yet."""
+        staged = rows.groupBy(*keys).agg(F.count("*").alias("c"), *[F.first(p).alias(p) for p in PLACE])
+        met = runs.matched(runs.run(lambda: runs.stage(staged)))
+        one = F.when(F.col("known.c") == 1, F.struct(*[F.col(f"known.{p}") for p in PLACE])).alias("one")
+        return met, runs.run(lambda: stored(met.filter("known IS NOT NULL OR c > 1").select(*keys, "c", one), where))
 
     def close(self, delete: bool = False) -> None:
         for runs in (self.prints, self.windows, self.grams):
             runs.close(delete)
 
 
+def _places(rows: DataFrame, keys: list[str], again: DataFrame) -> DataFrame:
+    """Places of the stored rows whose key is among those that came again, and those that history holds."""
+    here = spread_join(rows, again.select(*keys), keys, ["d", "a"], counts=again.select(*keys, F.col("c").alias("n"))).select(*PLACE)
+    return here.unionAll(again.filter("one IS NOT NULL").select("one.*"))
+
+
 def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, fanout: int = FANOUT, into: str = "repeats") -> DataFrame:
     """docs with a struct column `into`: n_words, n_removed and the kept words joined by a space."""
     spark = docs.sparkSession
@@ -221,10 +216,10 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     index = SubstringIndex(spark, f"{folder}/index", fanout, window, gram)
     spans = []
     for k in range(batches):
-        spans.append(index._add(prints.filter(F.col("batch") == k).drop("batch"), docs, f"{folder}/batch-{k}", doc_id, text))
+        spans.append(index._add(prints.filter(F.col("batch") == k).drop("batch"), docs, f"{folder}/batch-{k}", doc_id, text, keep=k + 1 < batches))
         drop_dir(spark, f"{folder}/prints/batch={k}")
-    index.close()
-    drop_dir(spark, f"{folder}/index", f"{folder}/prints")
+    index.close(delete=True)
+    drop_dir(spark, f"{folder}/prints")
     return without_spans(docs, functools.reduce(DataFrame.unionAll, spans), doc_id=doc_id, text=text, window=window, into=into)
 
 

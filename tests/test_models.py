@@ -245,3 +245,93 @@ def test_job_round_trip_and_faults(tmp_path):
     for bad in (j.encode() + "format=1\n", j.encode().replace("overlap=10\n", ""), j.encode() + "huh\n", j.encode().replace("window=50", "window=x")):
         with pytest.raises(ValueError):
             Job.decode(bad)
+
+
+def mac_said():
+    return "Mach Virtual Memory Statistics: (page size of 16384 bytes)\nPages free:                               64000.\nPages active:                            300000.\nPages inactive:                          128000.\nPages speculative:                         1000.\n"
+
+
+def test_counters_of_other_systems():
+    got = admission.mac_counters(mac_said(), "17179869184\n", "  524288\n")
+    assert got["avail_phys_mb"] == (64000 + 128000 + 1000) * 16384 >> 20 and got["total_phys_mb"] == 16384 and got["proc_rss_mb"] == 512 and got["commit_avail_mb"] is None
+    assert set(admission.mac_counters("", "", "")) == set(admission.FIELDS) and not any(admission.mac_counters("", "", "").values())
+
+
+def test_npy_files(tmp_path):
+    from wavelane.errors import InputError
+    from wavelane.sources import npy
+
+    x = np.arange(6, dtype=np.float32).reshape(2, 3)
+    np.save(f"{tmp_path}/a.npy", x)
+    assert (npy.load(f"{tmp_path}/a.npy") == x).all()
+    np.save(f"{tmp_path}/b.npy", x.astype(float))
+    np.save(f"{tmp_path}/c.npy", np.asfortranarray(x))
+    (tmp_path / "d.npy").write_bytes((tmp_path / "a.npy").read_bytes()[:-1])
+    (tmp_path / "e.npy").write_bytes(b"no array")
+    for name in "bcde":
+        with pytest.raises(ModelError):
+            npy.load(f"{tmp_path}/{name}.npy")
+    with pytest.raises(InputError):
+        npy.load(f"{tmp_path}/none.npy")
+
+
+def exported(spark, change=lambda rows: rows):
+    """A graph as an exporter writes it: named norms and biases, unnamed weights of products, buffers."""
+    from wavelane.operators import weights as W
+
+    def ld(number, payload):
+        return G.varint(number << 3 | 2) + G.varint(len(payload)) + payload
+
+    def init(name, x):
+        return ld(5, b"".join(G.varint(1 << 3) + G.varint(d) for d in x.shape) + G.varint(2 << 3) + G.varint(1) + ld(8, name.encode()) + ld(9, x.astype("<f4").tobytes()))
+
+    rng, body, names = np.random.default_rng(1), b"", []
+    for i in range(2):
+        for t in (0, 1):
+            base = f"layers.{i}.{t}"
+            names += [(f"model.{base}.layers.0.0.norm.gamma", None), (f"model.{base}.norm.gamma", None), (f"model.{base}.layers.0.1.net.1.bias", None)]
+            names += [(f"/model/{base}/layers.0.0/to_qkv/MatMul", "w"), (f"/model/{base}/layers.0.0/to_out/to_out.0/MatMul", "w"), (f"/model/{base}/layers.0.1/net/net.4/MatMul", "w")]
+    names += [("/model/band_split/to_features.3/to_features.3.1/MatMul", "w"), ("/model/mask_estimators.0/to_freqs.7/to_freqs.7.0/to_freqs.7.0.2/MatMul", "w"), ("stft.window", None)]
+    want = {}
+    for k, (name, weight) in enumerate(change(names)):
+        x = rng.normal(size=(3, 4) if weight else (5,)).astype(np.float32)
+        if weight:
+            body += init(f"onnx::MatMul_{k}", x) + ld(1, ld(1, b"x") + ld(1, f"onnx::MatMul_{k}".encode()) + ld(3, name.encode()) + ld(4, b"MatMul"))
+        else:
+            body += init(name, x)
+        want[name] = x
+    return G.varint(1 << 3) + G.varint(9) + ld(7, body), want
+
+
+def test_weights_of_an_exported_graph(spark):
+    from wavelane.operators import modelweights as M
+
+    buf, held = exported(spark)
+    got = M.extract(spark, buf, whole=False)
+    assert len(got) == len(held) - 1
+    assert (got["layers_1.freq_transformer.layers_0.attn.to_out.layers.0.weight"] == held["/model/layers.1.1/layers.0.0/to_out/to_out.0/MatMul"].T).all()
+    assert (got["layers_0.time_transformer.layers_0.ff.net.layers.4.weight"] == held["/model/layers.0.0/layers.0.1/net/net.4/MatMul"].T).all()
+    assert (got["band_split.to_features_3.linear.weight"] == held["/model/band_split/to_features.3/to_features.3.1/MatMul"].T).all()
+    assert (got["mask_estimators_0.to_freqs_7.layers.2.weight"] == held["/model/mask_estimators.0/to_freqs.7/to_freqs.7.0/to_freqs.7.0.2/MatMul"].T).all()
+    assert (got["layers_1.time_transformer.norm.weight"] == held["model.layers.1.0.norm.gamma"]).all()
+    with pytest.raises(ModelError, match="missing"):
+        M.extract(spark, buf)
+    for change in (lambda n: [*n, n[0]], lambda n: [*n, ("elsewhere.weight", None)], lambda n: [*n, ("/other/x/MatMul", "w")]):
+        with pytest.raises(ModelError):
+            M.extract(spark, exported(spark, change)[0], whole=False)
+
+
+def test_windows_by_value():
+    from wavelane.operators import modelweights as M
+    from wavelane.plans.queries_models import sample_graph
+
+    raw = sample_graph(176_400)
+    small = M.resize(raw, 441)  # of another width, which the patch in place refuses
+    assert G.inspect(small).window == 441 and len(small) < len(raw) and M.resize(raw, 176_400) == raw
+    assert M.resize(raw, 88_200) == G.patch_window(raw, 88_200)[0]
+    for shapes in ("strip", "patch", "keep"):
+        assert M.round_trip(raw, 441, shapes)
+    for target, shapes in ((440, "strip"), (176_841, "strip"), (0, "keep"), (441, "other")):
+        with pytest.raises(ModelError):
+            M.resize(raw, target, shapes)
+    assert G.inspect(M.resize(raw, 440, force=True)).window == 440

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import re
+import subprocess
+import sys
 import threading
 import time
 from contextlib import contextmanager
@@ -19,7 +23,54 @@ MARKERS = ("bfcarena", "failed to allocate", "memory allocation of", "bad alloca
 
 
 def snapshot() -> dict[str, int | None]:
-    """This machine's counters from /proc; None where there is none."""
+    """This machine's counters; None where the system doesn't tell."""
+    if sys.platform == "darwin":
+        return mac_counters(_said("vm_stat"), _said("sysctl", "-n", "hw.memsize"), _said("ps", "-o", "rss=", "-p", str(os.getpid())))
+    if sys.platform == "win32":
+        return _windows()
+    return _linux()
+
+
+def _said(*command: str) -> str:
+    try:
+        return subprocess.run(command, capture_output=True, text=True, timeout=5, check=False).stdout
+    except (OSError, subprocess.SubprocessError):
+        return ""
+
+
+def mac_counters(vm_stat: str, memsize: str, rss: str) -> dict[str, int | None]:
+    """From what vm_stat, sysctl and ps say; free, inactive and speculative pages are to be had."""
+    size = re.search(r"page size of (\d+) bytes", vm_stat)
+    pages = [re.search(rf"Pages {k}:\s+(\d+)", vm_stat) for k in ("free", "inactive", "speculative")]
+    out = dict.fromkeys(FIELDS)
+    if size and pages[0]:
+        out["avail_phys_mb"] = sum(int(p[1]) for p in pages if p) * int(size[1]) >> 20
+    if memsize.strip().isdigit():
+        out["total_phys_mb"] = int(memsize) >> 20
+    if rss.strip().isdigit():
+        out["proc_rss_mb"] = int(rss) >> 10
+    return out
+
+
+def _windows() -> dict[str, int | None]:
+    """By the system's own calls; commit is what the page file may still take."""
+    import ctypes
+
+    long, size = ctypes.c_ulonglong, ctypes.c_size_t
+    status = type("Status", (ctypes.Structure,), {"_fields_": [("length", ctypes.c_ulong), ("load", ctypes.c_ulong), *[(n, long) for n in ("total", "avail", "limit", "commit", "virtual", "avail_virtual", "extended")]]})()
+    held = type("Held", (ctypes.Structure,), {"_fields_": [("cb", ctypes.c_ulong), ("faults", ctypes.c_ulong), *[(n, size) for n in ("peak_rss", "rss", "a", "b", "c", "d", "commit", "peak_commit", "private")]]})()
+    status.length, held.cb = ctypes.sizeof(status), ctypes.sizeof(held)
+    out = dict.fromkeys(FIELDS)
+    if ctypes.windll.kernel32.GlobalMemoryStatusEx(ctypes.byref(status)):
+        out |= {"avail_phys_mb": status.avail >> 20, "total_phys_mb": status.total >> 20, "commit_avail_mb": status.commit >> 20, "commit_limit_mb": status.limit >> 20}
+    ctypes.windll.kernel32.GetCurrentProcess.restype = ctypes.c_void_p
+    if ctypes.windll.psapi.GetProcessMemoryInfo(ctypes.c_void_p(ctypes.windll.kernel32.GetCurrentProcess()), ctypes.byref(held), held.cb):
+        out |= {"proc_commit_mb": held.commit >> 20, "proc_peak_commit_mb": held.peak_commit >> 20, "proc_rss_mb": held.rss >> 20, "proc_peak_rss_mb": held.peak_rss >> 20}
+    return out
+
+
+def _linux() -> dict[str, int | None]:
+    """From /proc."""
 
     def fields(path: str) -> dict[str, int]:
         try:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import admission, modelgraph, network, overlap
+from ..operators import admission, modelgraph, modelweights, network, overlap
 from ..sources import files
 from ..sources.sidecar import Job
 from ..streaming import separate
@@ -72,6 +72,29 @@ def graph_windows(spark, sf_dir):
     return rows.mapInPandas(go, "k long, window long, capacity long, nodes long, sites long, patched long")
 
 
+@query("""
+WITH w AS (SELECT o_orderkey AS k, (300000 // 441 - o_orderkey % 100) * 441 AS w FROM orders)
+SELECT k, CAST(w AS BIGINT) AS "window", CAST((w // 1323) * 441 AS BIGINT) AS resized, CAST(4 AS BIGINT) AS sites, true AS same_after_return FROM w""")
+def resized_graphs(spark, sf_dir):
+    """Graphs get a third of their window by value, and their own again."""
+    from .registry import load
+
+    k = F.col("o_orderkey")
+    rows = load(spark, sf_dir, "orders").select(k.alias("k"), ((F.floor(F.lit(300000) / 441) - k % 100) * 441).alias("w"))
+
+    def go(batches):
+        for pdf in batches:
+            out = []
+            for key, w in zip(pdf.k, pdf.w, strict=True):
+                raw, target = sample_graph(int(w)), int(w) // 1323 * 441
+                small = modelweights.resize(raw, target)
+                after = modelgraph.inspect(small)
+                out.append((key, w, after.window, len(after.sites), modelweights.round_trip(raw, target)))
+            yield type(pdf)(out, columns=["k", "window", "resized", "sites", "same_after_return"])
+
+    return rows.mapInPandas(go, "k long, window long, resized long, sites long, same_after_return boolean")
+
+
 @query("""SELECT * FROM (SELECT 1 AS field, 0 AS wire, CAST(count(*) AS INTEGER) AS n FROM orders UNION ALL SELECT 7, 2, CAST(count(*) AS INTEGER) FROM orders)""")
 def graph_fields(spark, sf_dir):
     """The outermost fields of serialised models, one for each order's window, as a table function."""

@@ -80,19 +80,20 @@ def resized_graphs(spark, sf_dir):
     from .registry import load
 
     k = F.col("o_orderkey")
-    rows = load(spark, sf_dir, "orders").select(k.alias("k"), ((F.floor(F.lit(300000) / 441) - k % 100) * 441).alias("w"))
+    rows = load(spark, sf_dir, "orders").select(k.alias("k"), ((F.floor(F.lit(300000) / 441) - k % 100) * 441).alias("window"))
 
     def go(batches):
         for pdf in batches:
             out = []
-            for key, w in zip(pdf.k, pdf.w, strict=True):
+            for w in pdf.window:
                 raw, target = sample_graph(int(w)), int(w) // 1323 * 441
-                small = modelweights.resize(raw, target)
-                after = modelgraph.inspect(small)
-                out.append((key, w, after.window, len(after.sites), modelweights.round_trip(raw, target)))
-            yield type(pdf)(out, columns=["k", "window", "resized", "sites", "same_after_return"])
+                after = modelgraph.inspect(modelweights.resize(raw, target))
+                out.append((w, after.window, len(after.sites), modelweights.round_trip(raw, target)))
+            yield type(pdf)(out, columns=["window", "resized", "sites", "same_after_return"])
 
-    return rows.mapInPandas(go, "k long, window long, resized long, sites long, same_after_return boolean")
+    # A graph a window, of which there are 100.
+    graphs = rows.select("window").distinct().mapInPandas(go, "window long, resized long, sites long, same_after_return boolean")
+    return rows.join(F.broadcast(graphs), "window").select("k", "window", "resized", "sites", "same_after_return")
 
 
 @query("""SELECT * FROM (SELECT 1 AS field, 0 AS wire, CAST(count(*) AS INTEGER) AS n FROM orders UNION ALL SELECT 7, 2, CAST(count(*) AS INTEGER) FROM orders)""")

@@ -46,7 +46,7 @@ def by_definition(text):
     free, found = list(own), []
     known = []
     for name, t in I.TEMPLATES.items():
-        raw = zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        raw = zstandard.ZstdCompressionDict(" ".join(I.words(t)).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         known.append((name, I.words(t), zstandard.ZstdCompressor(level=I.LEVEL, dict_data=raw, write_content_size=False, write_dict_id=False)))
     plain = zstandard.ZstdCompressor(level=I.LEVEL, write_content_size=False)
     while True:
@@ -64,8 +64,8 @@ def by_definition(text):
                     if row[n] >= I.WORDING * n and extra <= I.EXTRA * n and (here is None or 2 * row[n] - n - extra > here[0]):
                         here = 2 * row[n] - n - extra, j + 1
                 if here:
-                    block = text[at[i][0] : at[here[1] - 1][1]].encode()
-                    key = (-here[0], len(packed.compress(block)) - len(plain.compress(block)), name, i, here[1])
+                    block = " ".join(own[i : here[1]]).encode()
+                    key = (len(packed.compress(block)) - len(plain.compress(block)), -here[0], name, i, here[1])
                     best = min(best, key) if best else key
         if best is None:
             return {(text.count("\n", 0, place), name) for place, name in found}

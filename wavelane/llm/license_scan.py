@@ -6,15 +6,15 @@ be wrapped over lines. Blocks that overlap are one. Each window of a block of ab
 template's length is held against the template word by word: the longest common
 subsequence must hold at least `WORDING` of the template's words and no more than
 `EXTRA` other words may stand between them. Only windows that lack too many of the
-template's words in any order are skipped, which loses nothing. A confirmed window
-is compressed with its template as a raw zstandard dictionary; its reduction is
-the share of bytes that saves against no dictionary, so text around a notice
-doesn't lessen it. The words that differ are reported.
+template's words in any order are skipped, which loses nothing. Windows are compressed,
+their words joined by single spaces, with their template as a raw zstandard dictionary.
+Those that save most bytes against no dictionary come first, then those with most matched
+words less differing ones; so a license text isn't taken for the notice that it begins
+with. The reduction is the share of bytes saved; text around a notice, line ends and
+comment marks don't change it. The words that differ are reported.
 
 All templates, short notices and whole license texts, are tried, and every match is
-reported whose matched words no better one has: the most matched words less differing
-ones come first, then most bytes saved; so a license text isn't taken for the notice
-that it begins with. A template that
+reported whose matched words no better one has. A template that
 matches several times on a line is reported once, by its best match there. A match
 belongs to the line of its first matched word; `blocks` counts the lines on which
 a licensing word begins.
@@ -40,7 +40,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from . import vectext as V
 from .common import table, with_struct, without
 
-LEVEL = 3
+# The level's parser is an optimal one; faster levels' sizes of texts this short vary by their match finders' hits.
+LEVEL = 19
 WORDING = 0.8
 EXTRA = 0.35
 
@@ -118,8 +119,8 @@ class Scanner:
         self.plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
         self.known, self.marks, self.holders = [], [], {}
         for name, text in templates.items():
-            raw = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             ws, marks = words(text), {}
+            raw = zstandard.ZstdCompressionDict(" ".join(ws).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             for i, w in enumerate(ws):
                 marks[w] = marks.get(w, 0) | 1 << i
             for w in marks:
@@ -180,15 +181,15 @@ class Scanner:
         def offer(t: int, first: int) -> None:
             if hit := self.window(t, free, first):
                 name, _, compressor = self.known[t]
-                block = text[at[first][0] : at[hit[1] - 1][1]].encode()
+                block = " ".join(own[first : hit[1]]).encode()
                 alone = len(self.plain.compress(block))
                 saved = alone - len(compressor.compress(block))
-                heapq.heappush(heap, (-hit[0], -saved, name, first, hit[1], t, saved / alone))
+                heapq.heappush(heap, (-saved, -hit[0], name, first, hit[1], t, saved / alone))
 
         for t, first in self.starts(own):
             offer(t, first)
         while heap:
-            worse, _, name, first, after, t, gain = heapq.heappop(heap)
+            _, worse, name, first, after, t, gain = heapq.heappop(heap)
             # A window that lost words to a better match since comes back with what it has left.
             if self.window(t, free, first) != (-worse, after):
                 offer(t, first)

@@ -8,8 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.signal import hann, reflect
-from ..plans.grid import every_position
+from ..functions.signal import hann
 
 N_FFT, HOP = 2048, 441
 
@@ -45,19 +44,38 @@ def istft(spec: np.ndarray, length: int, n_fft: int = N_FFT, hop: int = HOP) ->
 
 
 def framed(signal: DataFrame, keys: list[str], n_fft: int, hop: int) -> DataFrame:
-    """keys, frame, k, v: every frame's samples, mirrored at the ends; signal: keys, pos, total, v."""
-    frames = every_position(signal.select(*keys, "total").distinct(), F.floor(F.col("total") / hop) + 1, "frame", 1 << 12).withColumn("frame", F.col("frame").cast("int"))
-    places = frames.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_fft - 1))).alias("k"))
-    at = reflect(F.col("frame") * hop + F.col("k") - n_fft // 2, F.col("total")).cast("long")
-    return places.withColumn("pos", at).join(signal.select(*keys, "pos", "v"), [*keys, "pos"]).select(*keys, "total", "frame", "k", "v")
+    """keys, total, frame, k, v: every frame's samples, mirrored at the ends; signal: keys, pos, total, v.
+
+    The frames of a sample follow from its position and its mirrored ones by arithmetic. There is
+    no join, which Spark would broadcast: places made from a few rows count as small before they are made.
+    """
+    pos, total, at, half = F.col("pos"), F.col("total"), F.col("__at"), n_fft // 2
+    none = F.array().cast("array<long>")
+    left = F.when((pos > 0) & (pos <= half), F.array((-pos).cast("long"))).otherwise(none)
+    right = F.when((pos < total - 1) & (pos >= total - 1 - n_fft), F.array((2 * (total - 1) - pos).cast("long"))).otherwise(none)
+    places = signal.select(*keys, "total", "v", F.explode(F.concat(F.array(pos.cast("long")), left, right)).alias("__at"))
+    first = F.greatest(F.floor((at + half - n_fft) / hop) + 1, F.lit(0)).cast("int")
+    last = F.least(F.floor((at + half) / hop), F.floor(total / hop)).cast("int")
+    rows = places.select("*", F.explode(F.when(first <= last, F.sequence(first, last))).alias("frame"))
+    return rows.select(*keys, "total", "frame", (at + half - F.col("frame") * hop).cast("int").alias("k"), "v")
+
+
+def _turns(f, by: list[int], n_fft: int) -> list:
+    """For each of `by`, f of the turn of that bin and place, or place and bin: an array to look up by the other."""
+    return [F.array(*[F.lit(f(2 * math.pi * b * k / n_fft)) for k in range(n_fft)]) for b in by]
 
 
 def small_dft(signal: DataFrame, keys: list[str], n_fft: int, hop: int) -> DataFrame:
-    """keys, total, frame, bin, re, im by the definition; for short windows."""
+    """keys, total, frame, bin, re, im by the definition; for short windows.
+
+    A frame's bins are summed side by side, so its samples aren't multiplied by the bins.
+    """
     rows = framed(signal, keys, n_fft, hop).withColumn("x", F.col("v") * hann(F.col("k"), n_fft))
-    bins = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_fft // 2))).alias("bin"))
-    turn = 2 * math.pi * F.col("bin") * F.col("k") / n_fft
-    return bins.groupBy(*keys, "total", "frame", "bin").agg(F.sum(F.col("x") * F.cos(turn)).alias("re"), F.sum(-F.col("x") * F.sin(turn)).alias("im"))
+    bins = list(range(n_fft // 2 + 1))
+    re, im = ([F.sum(part(F.col("x")) * F.get(t, F.col("k"))) for t in _turns(f, bins, n_fft)] for f, part in ((math.cos, lambda x: x), (math.sin, lambda x: -x)))
+    spectra = rows.groupBy(*keys, "total", "frame").agg(*[c.alias(f"__{p}{b}") for p, cs in (("re", re), ("im", im)) for b, c in enumerate(cs)])
+    each = F.inline(F.array(*[F.struct(F.lit(b).alias("bin"), F.col(f"__re{b}").alias("re"), F.col(f"__im{b}").alias("im")) for b in bins]))
+    return spectra.select(*keys, "total", "frame", each)
 
 
 def small_idft(spec: DataFrame, keys: list[str], n_fft: int, hop: int) -> DataFrame:

@@ -158,12 +158,15 @@ def small_bridge(spark):
 @query(W + DFT + ", " + BRIDGE9 + """, ga AS (SELECT track, frame, band, d.bin, re * (band + 1) / (frame % 3 + 2) AS v FROM dft d JOIN bridge b ON d.bin = b.bin), n AS (SELECT bin, count(*) AS n FROM bridge GROUP BY bin)
 SELECT track, CAST(frame AS INTEGER) AS frame, CAST(ga.bin AS INTEGER) AS bin, round(sum(v) / any_value(n), 6) + 0.0 AS v FROM ga JOIN n ON ga.bin = n.bin GROUP BY ALL""")
 def gather_and_scatter(spark, sf_dir):
-    """Bins to overlapping bands, a gain each, and back by average."""
+    """Bins to overlapping bands, a gain each, and back by average.
+
+    A track has one total; grouped with it, rows stay where small_dft put them.
+    """
     spec = spectral.small_dft(left(spark, sf_dir), ["track"], N_FFT, HOP)
     bridge = small_bridge(spark)
     made = bands.gather(spec, bridge).withColumn("v", F.col("re") * (F.col("band") + 1) / (F.col("frame") % 3 + 2))
     n = bands.bands_per_bin(bridge)
-    back = made.groupBy("track", "frame", "bin").agg(F.sum("v").alias("v")).join(F.broadcast(n), "bin")
+    back = made.groupBy("track", "total", "frame", "bin").agg(F.sum("v").alias("v")).join(F.broadcast(n), "bin")
     return back.select("track", "frame", "bin", r6(F.col("v") / F.col("n_bands")).alias("v"))
 
 

@@ -37,7 +37,7 @@ def final_plan(df):
     return plan.split("== Initial Plan ==")[0]
 
 
-@pytest.mark.parametrize("name", ["gather_and_scatter", "masked_spectrum"])
+@pytest.mark.parametrize("name", ["gather_and_scatter", "masked_spectrum", "short_dft_round_trip"])
 def test_positions_are_not_broadcast(spark, name):
     """At 60 times sf0.1 the places of all frames, 24 million, were broadcast by way of the driver."""
     plan = final_plan(QUERIES[name](spark, SF))
@@ -49,3 +49,13 @@ def test_bands_stay_where_the_spectra_are(spark):
     """One exchange by frame at most (none where the signal is small enough to stay together); there were two."""
     plan = final_plan(QUERIES["gather_and_scatter"](spark, SF))
     assert len(re.findall(r"Exchange hashpartitioning\(track#\d+, (?:total#\d+L?, )?frame#", plan)) <= 1
+
+
+def test_inverse_of_tracks_of_every_length(spark):
+    totals = range(1, 41)
+    signal = spark.createDataFrame([(f"t{n}", p, n, float((p * 37 + n) % 11 - 5)) for n in totals for p in range(n)], "track string, pos long, total long, v double")
+    back = spectral.small_idft(spectral.small_dft(signal, ["track"], 16, 4), ["track"], 16, 4)
+    got = sorted((r.track, r.pos, round(r.v, 9) + 0.0) for r in back.collect())
+    assert got == sorted((f"t{n}", p, float((p * 37 + n) % 11 - 5)) for n in totals for p in range(n) if p < n // 4 * 4 + 8)
+    # A frame's samples are summed side by side, not once for each bin and place.
+    assert not re.search(r"hashpartitioning\([^)]*frame#\d+, (?:k|bin)#", final_plan(back))

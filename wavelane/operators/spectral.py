@@ -80,10 +80,12 @@ def small_dft(signal: DataFrame, keys: list[str], n_fft: int, hop: int) -> DataF
 
 def small_idft(spec: DataFrame, keys: list[str], n_fft: int, hop: int) -> DataFrame:
     """keys, pos, v: the inverse of small_dft by overlap-add over the squared window."""
-    rows = spec.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_fft - 1))).alias("k"))
-    turn = 2 * math.pi * F.col("bin") * F.col("k") / n_fft
     twice = F.when(F.col("bin").isin(0, n_fft // 2), 1.0).otherwise(2.0)
-    samples = rows.groupBy(*keys, "total", "frame", "k").agg((F.sum(twice * (F.col("re") * F.cos(turn) - F.col("im") * F.sin(turn))) / n_fft).alias("y"))
+    places = list(range(n_fft))
+    turns = zip(_turns(math.cos, places, n_fft), _turns(math.sin, places, n_fft), strict=True)
+    ys = [(F.sum(twice * (F.col("re") * F.get(c, F.col("bin")) - F.col("im") * F.get(s, F.col("bin")))) / n_fft).alias(f"__y{k}") for k, (c, s) in enumerate(turns)]
+    wide = spec.groupBy(*keys, "total", "frame").agg(*ys)
+    samples = wide.select(*keys, "total", "frame", F.inline(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"__y{k}").alias("y")) for k in places])))
     w = hann(F.col("k"), n_fft)
     pos = F.col("frame") * hop + F.col("k") - n_fft // 2
     summed = samples.select(*keys, "total", pos.cast("long").alias("pos"), (F.col("y") * w).alias("y"), (w * w).alias("n")).filter((F.col("pos") >= 0) & (F.col("pos") < F.col("total")))

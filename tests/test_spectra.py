@@ -37,7 +37,7 @@ def final_plan(df):
     return plan.split("== Initial Plan ==")[0]
 
 
-@pytest.mark.parametrize("name", ["gather_and_scatter", "masked_spectrum", "short_dft_round_trip", "framed_signal"])
+@pytest.mark.parametrize("name", ["gather_and_scatter", "masked_spectrum", "short_dft_round_trip", "framed_signal", "short_dft"])
 def test_positions_are_not_broadcast(spark, name):
     """At 60 times sf0.1 the places of all frames, 24 million, were broadcast by way of the driver."""
     plan = final_plan(QUERIES[name](spark, SF))

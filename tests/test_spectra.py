@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from wavelane.operators import spectral
@@ -45,6 +46,34 @@ def test_positions_are_not_broadcast(spark, name):
     assert not re.search(r"Join \[track#\d+, pos#", plan)
 
 
+def broadcast_rows(node):
+    """Rows of each broadcast in a plan that has run."""
+    name = node.nodeName()
+    if "QueryStage" in name:
+        return broadcast_rows(node.plan())
+    if name == "AdaptiveSparkPlan":
+        return broadcast_rows(node.executedPlan())
+    own = [node.metrics().apply("numOutputRows").value()] if name == "BroadcastExchange" else []
+    return own + [n for k in range(node.children().size()) for n in broadcast_rows(node.children().apply(k))]
+
+
+@pytest.mark.parametrize("name", ["masked_spectrum"])
+def test_no_broadcast_grows_with_the_events(spark, tmp_path, name):
+    """Ten copies of the events: only counts by track and day are broadcast, as many as for one copy."""
+    e = spark.read.parquet(f"{SF}/events.parquet")
+    days = e.selectExpr("event_type", "date_trunc('day', ts)").distinct().count()
+    copies = e.crossJoin(spark.range(10).withColumnRenamed("id", "copy")).withColumn("event_id", F.expr("event_id + copy * 1000000")).drop("copy")
+    copies.write.parquet(f"{tmp_path}/events.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")
+    try:
+        df = QUERIES[name](spark, str(tmp_path))
+        df.collect()
+        rows = broadcast_rows(df._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert rows and max(rows) <= days
+
+
 def test_bands_stay_where_the_spectra_are(spark):
     """One exchange by frame at most (none where the signal is small enough to stay together); there were two."""
     plan = final_plan(QUERIES["gather_and_scatter"](spark, SF))

@@ -57,7 +57,7 @@ def broadcast_rows(node):
     return own + [n for k in range(node.children().size()) for n in broadcast_rows(node.children().apply(k))]
 
 
-@pytest.mark.parametrize("name", ["masked_spectrum", "framed_signal"])
+@pytest.mark.parametrize("name", ["masked_spectrum", "framed_signal", "short_dft"])
 def test_no_broadcast_grows_with_the_events(spark, tmp_path, name):
     """Ten copies of the events: only counts by track and day are broadcast, as many as for one copy."""
     e = spark.read.parquet(f"{SF}/events.parquet")
